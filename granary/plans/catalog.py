@@ -6,8 +6,8 @@ import importlib
 
 from granary.plans import registry
 
-FLAGSHIP = "o2_cross_val_predict"
-MODULES = ["profiling", "relational", "preparation"]
+FLAGSHIP = "o3_scaled_cross_validation"
+MODULES = ["profiling", "relational", "preparation", "modeling"]
 
 for _name in MODULES:
     importlib.import_module(f"granary.plans.{_name}")
