@@ -27,7 +27,9 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(float)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _distances(a: np.ndarray, b: np.ndarray, metric: str = "l2") -> np.ndarray:
+    if metric == "l1":
+        return sum(np.abs(a[:, j, None] - b[None, :, j]) for j in range(a.shape[1]))
     d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     return np.sqrt(np.maximum(d2, 0.0))
 
@@ -39,10 +41,10 @@ def _pick_pivots(rows: DataFrame, n: int) -> np.ndarray:
     return np.array([r.v for r in picked], dtype=float)
 
 
-def _nearest_pivot(pivots: np.ndarray):
+def _nearest_pivot(pivots: np.ndarray, metric: str):
     def assign(batches):
         for b in batches:
-            d = _distances(_matrix(b["v"]), pivots)
+            d = _distances(_matrix(b["v"]), pivots, metric)
             cell = d.argmin(1)
             yield b.assign(cell=cell.astype("int32"), dist=d[np.arange(len(d)), cell])
 
@@ -58,8 +60,12 @@ def nearest(
     k: int,
     payload: str | None = None,
     exclude_self: bool = False,
+    metric: str = "l2",
 ) -> DataFrame:
-    """(query_key, rank, neighbor, distance, payload): k nearest rows, ties by row key."""
+    """(query_key, rank, neighbor, distance, payload): k nearest rows, ties by row key.
+
+    ``metric`` is l2 or l1; distances are compared to nine decimals.
+    """
     want = k + 1 if exclude_self else k
     value = col(payload).cast("double") if payload else F.lit(None).cast("double")
     base = rows.select(col(row_key).cast("long").alias("id"), col(vector).cast("array<double>").alias("v"), value.alias("y"))
@@ -72,7 +78,7 @@ def nearest(
         raise ValueError("no rows to search")
     pivots = _pick_pivots(base, n)
     cells = materialize(
-        base.mapInPandas(_nearest_pivot(pivots), "id long, v array<double>, y double, cell int, dist double"), "knn-cells"
+        base.mapInPandas(_nearest_pivot(pivots, metric), "id long, v array<double>, y double, cell int, dist double"), "knn-cells"
     )
     near = Window.partitionBy("cell").orderBy("dist", "id")
     ranked = cells.select("cell", "dist", "id").withColumn("_rn", F.row_number().over(near)).where(F.col("_rn") <= want)
@@ -89,7 +95,7 @@ def nearest(
 
     def visits(batches):
         for b in batches:
-            d = _distances(_matrix(b["v"]), pivots)
+            d = _distances(_matrix(b["v"]), pivots, metric)
             limit = (d + bound).min(1)
             if not np.isfinite(limit).all() and total >= want:
                 # no single cell holds k rows: reach far enough to cover k rows over several
@@ -130,13 +136,15 @@ def nearest(
         out = []
         step = 256
         for s in range(0, len(a), step):
-            d = _distances(a[s : s + step], b)
+            d = _distances(a[s : s + step], b, metric)
             kk = min(want, d.shape[1])
             edge = np.partition(d, kk - 1, axis=1)[:, kk - 1]
             for i in range(len(d)):
                 # candidates by the fast form, exact differences decide
                 c = np.nonzero(d[i] <= edge[i] + 1e-5)[0]
-                exact = np.sqrt(((b[c] - a[s + i]) ** 2).sum(1))
+                diff = b[c] - a[s + i]
+                exact = np.abs(diff).sum(1) if metric == "l1" else np.sqrt((diff**2).sum(1))
+                exact = np.round(exact, 9)
                 best = np.lexsort((ids[c], exact))[:kk]
                 out.append((np.full(len(best), q["qid"].iloc[s + i]), ids[c][best], exact[best], ys[c][best]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]

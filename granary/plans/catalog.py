@@ -7,7 +7,7 @@ import importlib
 from granary.plans import registry
 
 FLAGSHIP = "o3_scaled_cross_validation"
-MODULES = ["profiling", "relational", "preparation", "modeling"]
+MODULES = ["profiling", "relational", "preparation", "modeling", "monitoring", "textual", "streams"]
 
 for _name in MODULES:
     importlib.import_module(f"granary.plans.{_name}")

@@ -510,7 +510,7 @@ def _(t):
     return d.select("step", E.net_value("tp", "fp", "fn").alias("value"))
 
 
-@query("n19_agreement", "SELECT label, round(avg((embedding[1] >= 0 = (embedding[2] >= 0))::INT), 9) AS agreement FROM embeddings GROUP BY 1")
+@query("n19_agreement", "SELECT label, round(avg(((embedding[1] >= 0) = (embedding[2] >= 0))::INT), 9) AS agreement FROM embeddings GROUP BY 1")
 def _(t):
     a, b = F.get("embedding", F.lit(0)) >= 0, F.get("embedding", F.lit(1)) >= 0
     return t.embeddings.groupBy("label").agg(F.round(F.avg((a == b).cast("int")), 9).alias("agreement"))
@@ -712,15 +712,15 @@ def _(t):
     return out.select("vec_id", F.round("d", 6).alias("decision"), (F.col("d") >= 0).cast("int").alias("prediction"))
 
 
-KNN_SQL = """n AS (SELECT q, id, y, sqrt(d2) AS d, row_number() OVER (PARTITION BY q ORDER BY d2, id) AS r FROM (SELECT a.vec_id AS q, b.vec_id AS id, b.label AS y,
+KNN_SQL = """n AS (SELECT q, id, y, sqrt(d2) AS d, row_number() OVER (PARTITION BY q ORDER BY round(sqrt(d2), 9), id) AS r FROM (SELECT a.vec_id AS q, b.vec_id AS id, b.label AS y,
   list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))) AS d2 FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) QUALIFY r <= 5)"""
 
 
-@query("d6_nearest_neighbors", f"WITH {KNN_SQL} SELECT q AS vec_id, r AS rank, id AS neighbor, round(d, 7) AS distance FROM n")
+@query("d6_nearest_neighbors", f"WITH {KNN_SQL} SELECT q AS vec_id, r AS rank, id AS neighbor, round(round(d, 9), 6) AS distance FROM n")
 def _(t):
     e = t.embeddings
     near = neighbors.nearest(e, e, "vec_id", "vec_id", "embedding", 5, exclude_self=True)
-    return near.select("vec_id", "rank", "neighbor", F.round("distance", 7).alias("distance"))
+    return near.select("vec_id", "rank", "neighbor", F.round("distance", 6).alias("distance"))
 
 
 @query(
