@@ -13,6 +13,7 @@ from granary.functions.scalars import clip, col, text_na_to_null
 from granary.operators.filters import Rule, apply_rules, rule_effects
 from granary.operators.profile import melt_aggregates, null_counts
 from granary.operators.quantiles import exact_quantiles, quantile_values
+from granary.session import sized
 
 
 def _is_text(df: DataFrame, c: str) -> bool:
@@ -85,7 +86,7 @@ class Imputer:
 
 def group_median_fill(df: DataFrame, c: str, by: str) -> DataFrame:
     """Null -> median of the row's group, else the global median."""
-    med = exact_quantiles(df, [c], [0.5], [by], "_g").select(by, "_g")
+    med = sized(exact_quantiles(df, [c], [0.5], [by], "_g").select(by, "_g"))
     overall = exact_quantiles(df, [c], [0.5], (), "_all").select("_all")
     return (
         df.join(med, by, "left")

@@ -182,14 +182,15 @@ def rolling_per_entity(
     """
     placed = order_buckets(df, order, tie, buckets)
     slice_keys = [entity, "_b", "_t"]
-    rows = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*slice_keys).orderBy(order, tie)))
-    counts = rows.groupBy(*slice_keys).agg(F.count("*").alias("_c"))
+    counts = placed.groupBy(*slice_keys).agg(F.count("*").alias("_c"))
     # one entry per slice of the entity
     seq = Window.partitionBy(entity).orderBy("_b", "_t").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(seq), F.lit(0)))
     slices = counts.groupBy(entity).agg(F.collect_list(F.struct("_b", "_t", "_start")).alias("_slices"))
-    tails = rows.join(counts, slice_keys).where(F.col("_rn") > F.col("_c") - back)
-    position = F.col("_start") + F.col("_rn")
+    # the last rows of a slice are limited per task before the shuffle
+    end = Window.partitionBy(*slice_keys).orderBy(F.desc(order), F.desc(tie))
+    tails = placed.withColumn("_rd", F.row_number().over(end)).where(F.col("_rd") <= back).join(counts, slice_keys)
+    position = F.col("_start") + F.col("_c") - F.col("_rd") + 1
     needed = F.filter("_slices", lambda s: (s["_start"] >= position) & (s["_start"] < position + back))
     carried = (
         tails.join(slices, entity)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import col
 from granary.operators.ranking import sorted_positions
+from granary.session import sized
 
 WIDE_LIMIT = 1000
 
@@ -17,7 +18,7 @@ WIDE_LIMIT = 1000
 def label_codes(df: DataFrame, c: str) -> DataFrame:
     """(category, code): distinct non-null values in ascending order from 0."""
     values = df.select(col(c).cast("string").alias("category")).where("category IS NOT NULL").distinct()
-    return sorted_positions(values, ["category"], "code")
+    return sized(sorted_positions(values, ["category"], "code"), "codes")
 
 
 def label_encode(df: DataFrame, c: str, codes: DataFrame, out: str, strict: bool = True) -> DataFrame:
@@ -75,7 +76,7 @@ class TargetEncoding:
         mapping = sums.join(F.broadcast(overall)).select(
             c, "n", smoothed("n", "s", "global_mean", smoothing, min_samples).alias("encoding")
         )
-        return cls(c, mapping, overall)
+        return cls(c, sized(mapping, "encoding"), overall)
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:
         m = self.mapping.select(F.col(self.column), F.col("encoding").alias(out))
@@ -116,7 +117,7 @@ def out_of_fold_target(
             ).alias(out),
         )
     )
-    return df.join(table, [c, fold])
+    return df.join(sized(table, "encoding"), [c, fold])
 
 
 def encode_columns(df: DataFrame, plan: dict[str, tuple[str, dict]]) -> DataFrame:

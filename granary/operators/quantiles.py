@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.session import sized
+
 SKETCH_ACCURACY = 10_000
 
 
@@ -63,6 +65,8 @@ def _quantiles_long(values: DataFrame, probs, by: list[str], name: str, ranks=No
     if not by:
         # one row per column name: bounded by the width of the table
         sketch = F.broadcast(sketch)
+    else:
+        sketch = sized(sketch, "sketch")
     m = [F.col("_m").getItem(i) for i in range(len(marks))]
     v = F.col("v")
     inside = reduce(

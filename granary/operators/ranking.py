@@ -71,7 +71,7 @@ def hash_cuts(
         .groupBy(*by)
         .agg(*[F.max(F.when(F.col("_i") == i, F.col("_h"))).alias(f"c{i}") for i in range(len(ranks))])
     )
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
+    sizes = counts.select(*by, "n").distinct()
     full = sizes.join(found, by, "left") if by else sizes.join(F.broadcast(found))
     return full.select(
         *by, "n", *[F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(len(ranks))]
@@ -112,7 +112,8 @@ def order_buckets(
     out = out.drop("_key")
     if not tie or not singles:
         return out.withColumn("_t", F.lit(0.0))
-    ties = split_points(df, tie, k)
+    # heavy values share k further cuts, so all buckets together stay near 2 k
+    ties = split_points(df, tie, -(-k // len(singles)) + 1)
     tie_splits = [-math.inf, *ties, math.inf]
     if len(tie_splits) < 3:
         return out.withColumn("_t", F.lit(0.0))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from granary.functions.scalars import col
 from granary.operators.quantiles import values_at_ranks
 from granary.operators.ranking import hash_cuts, key_hash
+from granary.session import sized
 
 
 def hash_fold(keys: Sequence, k: int, seed: int) -> Column:
@@ -32,7 +33,7 @@ def _with_cuts(df, keys, seed, ranks: Sequence[Column], by: Sequence[str]) -> Da
     cuts = hash_cuts(hashed, "_hash", ranks, by)
     if not by:
         return hashed.join(F.broadcast(cuts))
-    return hashed.join(cuts, list(by))
+    return hashed.join(sized(cuts, "cuts"), list(by))
 
 
 def train_test_split(
@@ -103,7 +104,7 @@ def temporal_split(df: DataFrame, ts: str, key: str, test_size: float) -> DataFr
 
 def with_class_weights(df: DataFrame, label: str) -> DataFrame:
     """weight = n / (classes * class size)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_c"))
+    counts = sized(df.groupBy(label).agg(F.count("*").alias("_c")))
     totals = counts.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
     return (
         df.join(counts, label)

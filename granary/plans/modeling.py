@@ -14,6 +14,7 @@ from granary.operators.scale import StandardScaler
 from granary.operators.split import hash_fold, with_class_weights
 from granary.plans.common import LINE_KEY, SCORED_SQL, scored_events
 from granary.plans.registry import query
+from granary.session import materialize
 
 KEYS = ", ".join(LINE_KEY)
 FOLD_SQL = f"CAST(('0x' || substr(md5(concat_ws('|', {KEYS}) || ':42'), 1, 7)) AS BIGINT) % 5"
@@ -619,7 +620,7 @@ def _(t):
     from granary.models.spark_ml import linear_svm, with_vector
 
     df = with_vector(class_rows(t).withColumn("y", (F.col("label") >= 5).cast("int")), "embedding")
-    df = df.withColumn("fold", hash_fold(["vec_id"], 3, 42)).select("vec_id", "y", "fold", "features").cache()
+    df = materialize(df.withColumn("fold", hash_fold(["vec_id"], 3, 42)).select("vec_id", "y", "fold", "features"), "digits")
     n = df.count()
     out = None
     for c in (0.01, 1.0):
@@ -730,8 +731,6 @@ def _(t):
        JOIN (SELECT q, y FROM v QUALIFY row_number() OVER (PARTITION BY q ORDER BY w DESC, y) = 1) b ON b.q = vec_id""",
 )
 def _(t):
-    from granary.session import materialize
-
     e = t.embeddings
     near = materialize(neighbors.nearest(e, e, "vec_id", "vec_id", "embedding", 5, payload="label", exclude_self=True), "knn")
     u = neighbors.vote(near, "vec_id", "uniform", "uniform")

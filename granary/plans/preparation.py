@@ -324,11 +324,8 @@ def _(t):
 def _(t):
     e = t.events.select("event_id", "value", F.col("event_id").cast("double").alias("kept"))
     model = features.LogTransform.fit(e, None, ["value", "kept"])
-    out = model.transform(e)
-    back = model.inverse(out.select("event_id", "value").withColumnRenamed("event_id", "id")).select(
-        F.col("id").alias("event_id"), F.round("value", 6).alias("back")
-    )
-    return out.join(back, "event_id").withColumn("value", F.round("value", 9))
+    out = model.transform(e).withColumn("logged", F.round("value", 9))
+    return model.inverse(out).select("event_id", "kept", F.col("logged").alias("value"), F.round("value", 6).alias("back"))
 
 
 @query(
@@ -390,6 +387,22 @@ def _(t):
     return out.select("vec_id", "label", "dx", "dy", F.round(checksum, 6).alias("checksum"))
 
 
+@query(
+    "u2_custom_stage",
+    f"""WITH p AS (SELECT {KEYS}, l_discount FROM {LINE_NULLS_SQL}), i AS (SELECT {KEYS}, coalesce(l_discount, (SELECT median(l_discount) FROM p)) AS d FROM p)
+       SELECT {KEYS}, round((d - avg(d) OVER ()) / stddev_pop(d) OVER (), 7) + 0 AS l_discount FROM i""",
+)
+def _(t):
+    """An estimator of our own is fitted, saved, loaded and applied."""
+    from granary.models.spark_ml import MedianScale, MedianScaleModel
+    from granary.session import fresh_path
+
+    df = line_nulls(t).select(*LINE_KEY, "l_discount")
+    path = fresh_path(t.spark, "stage")
+    MedianScale(["l_discount"]).fit(df).write().save(path)
+    return MedianScaleModel.load(path).transform(df).withColumn("l_discount", F.round("l_discount", 7) + 0)
+
+
 @query("j23_noise")
 def _(t):
     noisy = features.add_noise(t.embeddings, "embedding", "vec_id", 100, 42, 0.001)
@@ -474,6 +487,10 @@ def _(t):
     return profile.finite_report(df, ["l_discount", "inv_tax", "root"])
 
 
+@query(
+    "u3_function_with_inverse",
+    f"SELECT {KEYS}, round(ln(l_extendedprice), 9) AS log_l_extendedprice, round(exp(ln(l_extendedprice)), 4) AS l_extendedprice FROM lineitem",
+)
 @query(
     "j29_function_transformer",
     f"SELECT {KEYS}, round(ln(l_extendedprice), 9) AS log_l_extendedprice, round(exp(ln(l_extendedprice)), 4) AS l_extendedprice FROM lineitem",
@@ -513,11 +530,10 @@ def _(t):
          l_extendedprice FROM lineitem""",
 )
 def _(t):
-    df = t.lineitem.select(*LINE_KEY, F.col("l_extendedprice").alias("scaled"))
-    s = MinMaxScaler.fit(df, ["scaled"], (-1.0, 1.0))
-    z = s.transform(df)
-    back = s.inverse(z.select(*LINE_KEY, "scaled")).select(*LINE_KEY, F.round("scaled", 4).alias("l_extendedprice"))
-    return z.withColumn("scaled", F.round("scaled", 9) + 0).join(back, LINE_KEY)
+    df = t.lineitem.select(*LINE_KEY, F.col("l_extendedprice").alias("x"))
+    s = MinMaxScaler.fit(df, ["x"], (-1.0, 1.0))
+    z = s.transform(df).withColumn("scaled", F.round("x", 9) + 0)
+    return s.inverse(z).select(*LINE_KEY, "scaled", F.round("x", 4).alias("l_extendedprice"))
 
 
 @query(
@@ -589,6 +605,11 @@ def _(t):
     return split.kfold(t.orders.select("o_orderkey"), ["o_orderkey"], 7, 42)
 
 
+@query(
+    "u8_fold_rows",
+    f"""SELECT o_orderkey, repeat, {FOLD_SQL.format(k=5)} AS fold FROM (SELECT o_orderkey, repeat, row_number() OVER (PARTITION BY repeat ORDER BY md5(repeat || '|' || o_orderkey || ':42')) - 1 AS r,
+         count(*) OVER (PARTITION BY repeat) AS n FROM orders, (SELECT unnest(range(3)) AS repeat))""",
+)
 @query(
     "l7_repeated_kfold",
     f"""SELECT o_orderkey, repeat, {FOLD_SQL.format(k=5)} AS fold FROM (SELECT o_orderkey, repeat, row_number() OVER (PARTITION BY repeat ORDER BY md5(repeat || '|' || o_orderkey || ':42')) - 1 AS r,

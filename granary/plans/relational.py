@@ -256,6 +256,14 @@ def _(t):
     )
 
 
+@query(
+    "u4_rule_columns",
+    "SELECT o_orderkey FROM orders WHERE o_totalprice > 5000 AND o_totalprice < 450000 AND o_orderstatus <> 'P'",
+)
+def _(t):
+    return filters.apply_rules(t.orders, order_rules()).select("o_orderkey")
+
+
 @query(
     "c6_domain_rules",
     """SELECT 0 AS step, 'price_positive' AS rule, count(*) FILTER (NOT o_totalprice > 5000) AS removed FROM orders

@@ -112,6 +112,13 @@ def _(t):
     return T.vocabulary(T.word_counts(t.documents, "doc_id", "text"), 1000)
 
 
+@query("u7_one_row_to_many", f"SELECT doc_id, count(*) AS terms, CAST(sum(n) AS BIGINT) AS words FROM {COUNTS} GROUP BY 1")
+def _(t):
+    rows = t.documents.select("doc_id", F.explode(X.words(X.clean_words("text"))).alias("term"))
+    per_term = rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return per_term.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("n").alias("words"))
+
+
 @query("g7_top_terms", f"SELECT term, CAST(sum(n) AS BIGINT) AS n FROM {COUNTS} GROUP BY 1 ORDER BY n DESC, term LIMIT 100")
 def _(t):
     terms = t.documents.select(F.explode(X.words(X.clean_words("text"))).alias("term"))

@@ -52,6 +52,16 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def sized(df, purpose: str = "lookup"):
+    """A lookup written once before it is joined.
+
+    The optimizer then knows its real size: it is broadcast only below
+    ``spark.sql.autoBroadcastJoinThreshold``, and the large side of the join is
+    not shuffled just because the size was unknown.
+    """
+    return materialize(df, purpose)
+
+
 def materialize(df, purpose: str = "stage"):
     """Write a multiply used result once and read it back (survives lost executors)."""
     spark = df.sparkSession
