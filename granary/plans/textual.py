@@ -7,7 +7,7 @@ from granary.operators import evaluate as E
 from granary.operators import textprep as T
 from granary.operators.split import kfold
 from granary.plans.registry import query
-from granary.session import materialize
+from granary.session import fill_cores, materialize
 
 WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 STRIP = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<head.*?>.*?</head>', '', 'gis'), '<a\\s.*?>', ' HYPERLINK ', 'gis'), '<.*?>', '', 'gs'), '{WS}*\\n', chr(10), 'g')"""
@@ -41,7 +41,8 @@ def make_mails(t):
             yield pd.DataFrame({"doc_id": b["doc_id"], "content": out})
 
     clean = F.regexp_replace("text", r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", " ")
-    return t.documents.select("doc_id", clean.alias("text")).mapInPandas(build, "doc_id long, content binary")
+    docs = fill_cores(t.documents.select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", clean.alias("text")).mapInPandas(build, "doc_id long, content binary")
 
 
 @query(
@@ -57,14 +58,14 @@ def _(t):
 @query("i13_regex_replace", f"SELECT page_id, md5({STRIP}) AS digest, length({STRIP}) AS n_chars FROM pages")
 def _(t):
     plain = X.strip_markup("html")
-    return t.pages.select("page_id", F.md5(plain).alias("digest"), F.length(plain).cast("long").alias("n_chars"))
+    return fill_cores(t.pages, "page_id").select("page_id", F.md5(plain).alias("digest"), F.length(plain).cast("long").alias("n_chars"))
 
 
 @query("i14_html_unescape")
 def _(t):
     """Decoded pages and how many entities were decoded."""
     stripped, full = X.strip_markup("html"), X.html_to_text("html")
-    return t.pages.select("page_id", F.length(full).alias("n_chars"), (F.length(stripped) - F.length(full)).alias("shorter_by"))
+    return fill_cores(t.pages, "page_id").select("page_id", F.length(full).alias("n_chars"), (F.length(stripped) - F.length(full)).alias("shorter_by"))
 
 
 @query(
@@ -90,7 +91,8 @@ def _(t):
 
 @query("r5_clean_words", f"SELECT doc_id, md5({CLEAN}) AS digest FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.md5(X.clean_words("text")).alias("digest"))
+    docs = fill_cores(t.documents.select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.md5(X.clean_words("text")).alias("digest"))
 
 
 @query("r6_word_counts", f"SELECT doc_id, term, n FROM {COUNTS}")
@@ -114,15 +116,13 @@ def _(t):
 
 @query("u7_one_row_to_many", f"SELECT doc_id, count(*) AS terms, CAST(sum(n) AS BIGINT) AS words FROM {COUNTS} GROUP BY 1")
 def _(t):
-    rows = t.documents.select("doc_id", F.explode(X.words(X.clean_words("text"))).alias("term"))
-    per_term = rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    per_term = T.terms(t.documents, "doc_id", "text").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     return per_term.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("n").alias("words"))
 
 
 @query("g7_top_terms", f"SELECT term, CAST(sum(n) AS BIGINT) AS n FROM {COUNTS} GROUP BY 1 ORDER BY n DESC, term LIMIT 100")
 def _(t):
-    terms = t.documents.select(F.explode(X.words(X.clean_words("text"))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(100)
+    return T.terms(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(100)
 
 
 @query(

@@ -52,6 +52,16 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def fill_cores(df, key: str):
+    """Spread a scan that has fewer partitions than the cluster has cores.
+
+    For costly row-wise work on small inputs or files of few row groups; large
+    inputs already have enough partitions and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def sized(df, purpose: str = "lookup"):
     """A lookup written once before it is joined.
 
