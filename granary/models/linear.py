@@ -202,5 +202,6 @@ def leave_one_out(df: DataFrame, features: Sequence[str], target: str, key: str,
     return df.select(
         key,
         (y - held_out).alias("prediction"),
-        (1 - held_out * held_out / ((y - train_mean) * (y - train_mean))).alias("r2"),
+        train_mean.alias("train_mean"),
+        (1 - F.try_divide(held_out * held_out, (y - train_mean) * (y - train_mean))).alias("r2"),
     )

@@ -41,8 +41,12 @@ def reference_bins(reference: DataFrame, cols: Sequence[str], bins: int = 10) ->
 
 def psi_table(reference: DataFrame, current: DataFrame, cols: Sequence[str], by: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """(by.., feature, n, psi) of equal-width reference bins; outside values are dropped."""
+    return psi_from_bins(reference_bins(reference, cols, bins), current, cols, by, bins)
+
+
+def psi_from_bins(ref: DataFrame, current: DataFrame, cols: Sequence[str], by: Sequence[str] = (), bins: int = 10) -> DataFrame:
+    """PSI against bins that were computed (and perhaps stored) before; columns x bins rows."""
     by = list(by)
-    ref = reference_bins(reference, cols, bins)
     ends = ref.select("feature", "lo", "hi").distinct()
     v = long_values(current, cols, by).join(F.broadcast(ends), "feature")
     counts = v.groupBy(*by, "feature", equal_width_bin("v", F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("n"))

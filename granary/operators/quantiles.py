@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.session import sized
+from granary.session import fill_cores, sized
 
 SKETCH_ACCURACY = 10_000
 
@@ -41,7 +41,23 @@ def exact_quantiles(
     name: str = "value",
 ) -> DataFrame:
     """Rows (by.., feature, prob, value): linear interpolation between order statistics."""
-    return _quantiles_long(long_values(df, cols, by), probs, list(by), name)
+    df = fill_cores(df.select(*by, *[c for c in cols if c not in by]), *cols)
+    sketch = None if by else _wide_sketch(df, cols, probs)
+    return _quantiles_long(long_values(df, cols, by), probs, list(by), name, sketch=sketch)
+
+
+def _marks(probs: Sequence[float]) -> list[float]:
+    """Sketch positions around each probability, four error bounds away."""
+    eps = 4.0 / SKETCH_ACCURACY
+    return [m for p in probs for m in (max(0.0, p - eps), min(1.0, p + eps))]
+
+
+def _wide_sketch(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(feature, _m) from one aggregation over the columns side by side."""
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    row = df.agg(*[F.percentile_approx(value(c), _marks(probs), SKETCH_ACCURACY).alias(c) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("_m")) for c in cols])
+    return row.select(F.inline(pairs)).where("_m IS NOT NULL")
 
 
 def values_at_ranks(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> list[float]:
@@ -53,15 +69,11 @@ def values_at_ranks(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> li
     return [got[round(p, 15)] for p in probs]
 
 
-def _quantiles_long(values: DataFrame, probs, by: list[str], name: str, ranks=None) -> DataFrame:
+def _quantiles_long(values: DataFrame, probs, by: list[str], name: str, ranks=None, sketch=None) -> DataFrame:
     keys = [*by, "feature"]
-    eps = 4.0 / SKETCH_ACCURACY
-    marks = []
-    for p in probs:
-        marks += [max(0.0, p - eps), min(1.0, p + eps)]
-    sketch = values.groupBy(*keys).agg(
-        F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("_m")
-    )
+    marks = _marks(probs)
+    if sketch is None:
+        sketch = values.groupBy(*keys).agg(F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("_m"))
     if not by:
         # one row per column name: bounded by the width of the table
         sketch = F.broadcast(sketch)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from granary.operators.quantiles import split_points
 from granary.session import materialize
 
-HASH_DIGITS = 3  # 4096 buckets of equal expected size
+HASH_DIGITS = 4  # 65536 buckets of equal expected size
 
 
 def key_hash(keys: Sequence[str | Column], seed: int) -> Column:

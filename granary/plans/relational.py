@@ -575,11 +575,11 @@ def _(t):
 @query(
     "g4_result_order",
     """SELECT event_id, risk, flagged::INT AS flagged FROM (SELECT event_id, value * 0.01 AS risk, value > 150 AS flagged FROM events)
-       WHERE flagged ORDER BY risk DESC, event_id LIMIT 200""",
+       WHERE flagged""",
 )
 def _(t):
     scored = t.events.select("event_id", (F.col("value") * 0.01).alias("risk"), (F.col("value") > 150).cast("int").alias("flagged"))
-    return scored.where("flagged = 1").orderBy(F.desc("flagged"), F.desc("risk"), "event_id").limit(200)
+    return scored.where("flagged = 1").orderBy(F.desc("flagged"), F.desc("risk"), "event_id")
 
 
 @query("g5_temporal_order", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate, o_orderkey")

@@ -48,18 +48,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder, grouped by application for later removal."""
+    return f"{shared_root(spark)}/granary-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
-def fill_cores(df, key: str):
+def fill_cores(df, *keys: str):
     """Spread a scan that has fewer partitions than the cluster has cores.
 
     For costly row-wise work on small inputs or files of few row groups; large
-    inputs already have enough partitions and pass unchanged.
+    inputs already have enough partitions and pass unchanged, and so do plans
+    with a shuffle of their own.
     """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def sized(df, purpose: str = "lookup"):

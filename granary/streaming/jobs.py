@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import col
 from granary.models.linear import r_squared
-from granary.operators.drift import psi_table
+from granary.operators.drift import psi_from_bins, reference_bins
 from granary.operators.gram import moments
-from granary.session import fresh_path
+from granary.session import fresh_path, sized
 
 
 def event_feed(spark: SparkSession, table_path: str, ts: str = "ts", files_per_batch: int | None = None) -> DataFrame:
@@ -170,9 +170,10 @@ def stream_psi(stream: DataFrame, reference: DataFrame, cols: Sequence[str]) ->
     """PSI of every micro-batch against a fixed reference."""
     spark = stream.sparkSession
     root = fresh_path(spark, "psi")
+    bins = sized(reference_bins(reference, cols), "bins")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = psi_table(reference, batch, cols).withColumn("batch", F.lit(batch_id))
+        rows = psi_from_bins(bins, batch, cols).withColumn("batch", F.lit(batch_id))
         rows.write.mode("overwrite").parquet(_version(root, batch_id))
 
     run_batches(stream, handle)
