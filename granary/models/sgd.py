@@ -19,6 +19,7 @@ from granary.functions.scalars import col
 from granary.models.linear import LinearModel, _with_bias
 from granary.operators.gram import Moments, moments, total
 from granary.operators.ranking import key_hash
+from granary.session import fill_cores
 
 # fixed values: learning rate at epoch t of T from start value r and decay d
 SCHEDULES: dict[str, Callable[[float, float, float, float], float]] = {
@@ -98,6 +99,7 @@ def averaged_sgd(
     """One row per step inside each partition; row-weighted average after every epoch."""
     names = [*features, target]
     rows = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
+    rows = fill_cores(rows, *rows.columns)
     p = len(features)
     theta = np.zeros(p + 1)
     costs = []
@@ -109,11 +111,11 @@ def averaged_sgd(
             rng = np.random.default_rng(seed + epoch)
             w, n, sse = start.copy(), 0, 0.0
             for b in batches:
-                z = b.to_numpy(dtype=float)
-                for i in rng.permutation(len(z)):
-                    x = np.append(1.0, z[i, :p])
-                    e = x @ w - z[i, p]
-                    w = w - r * e * x
+                z = b.to_numpy(dtype=float)[rng.permutation(len(b))]
+                xs, ys = np.column_stack([np.ones(len(z)), z[:, :p]]), z[:, p].tolist()
+                for x, y in zip(xs, ys, strict=True):
+                    e = float(x.dot(w)) - y
+                    w -= r * e * x
                     sse += e * e
                 n += len(z)
             if n:

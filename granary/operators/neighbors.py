@@ -132,21 +132,23 @@ def nearest(
         if not len(q) or not len(r):
             return pd.DataFrame({"qid": [], "id": [], "d": [], "y": []})
         a, b = _matrix(q["v"]), _matrix(r["v"])
-        ids, ys = r["id"].to_numpy(), r["y"].to_numpy(dtype=float)
+        ids, ys, qids = r["id"].to_numpy(), r["y"].to_numpy(dtype=float), q["qid"].to_numpy()
         out = []
         step = 256
         for s in range(0, len(a), step):
             d = _distances(a[s : s + step], b, metric)
             kk = min(want, d.shape[1])
             edge = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-            for i in range(len(d)):
-                # candidates by the fast form, exact differences decide
-                c = np.nonzero(d[i] <= edge[i] + 1e-5)[0]
-                diff = b[c] - a[s + i]
-                exact = np.abs(diff).sum(1) if metric == "l1" else np.sqrt((diff**2).sum(1))
-                exact = np.round(exact, 9)
-                best = np.lexsort((ids[c], exact))[:kk]
-                out.append((np.full(len(best), q["qid"].iloc[s + i]), ids[c][best], exact[best], ys[c][best]))
+            # candidates by the fast form, exact differences decide
+            i, c = np.nonzero(d <= edge[:, None] + 1e-5)
+            diff = b[c] - a[s + i]
+            exact = np.abs(diff).sum(1) if metric == "l1" else np.sqrt((diff**2).sum(1))
+            exact = np.round(exact, 9)
+            order = np.lexsort((ids[c], exact, i))
+            i, c, exact = i[order], c[order], exact[order]
+            first = np.searchsorted(i, np.arange(len(d)))
+            keep = np.arange(len(i)) - first[i] < kk
+            out.append((qids[s + i[keep]], ids[c[keep]], exact[keep], ys[c[keep]]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
         return pd.DataFrame(dict(zip(("qid", "id", "d", "y"), cols, strict=True)))
 

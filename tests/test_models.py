@@ -260,7 +260,7 @@ def test_linear_svm_and_random_features_on_known_shapes(spark):
         if expand:
             df = df.withColumn("v", kernels.random_features("v", 2, 300, 1.0, 1))
         df = with_vector(df, "v")
-        model = linear_svm(10.0, len(y), labelCol="y").fit(df)
+        model = linear_svm(10.0, len(y), labelCol="y", maxIter=25).fit(df)
         return model.transform(df).agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0]
 
     assert accuracy(*sets["blobs"], False) > 0.95
