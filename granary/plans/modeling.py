@@ -267,13 +267,19 @@ def _(t):
     return coefs.where((F.col("feature") != "(intercept)") & (F.abs("weight") > 1e-10))
 
 
-@query("g2_top_weights")
+@query(
+    "g2_top_weights",
+    f"""WITH s AS (SELECT count(*)::DOUBLE AS n, corr(x1, x2) AS r, corr(x1, y) AS a, corr(x2, y) AS b FROM {REG}),
+        w AS (SELECT ((n + 1) * n * a - n * r * n * b) / ((n + 1) * (n + 1) - n * r * n * r) AS w1, ((n + 1) * n * b - n * r * n * a) / ((n + 1) * (n + 1) - n * r * n * r) AS w2 FROM s),
+        l AS (SELECT 'x1' AS feature, w1 AS weight FROM w UNION ALL SELECT 'x2', w2 FROM w)
+       SELECT feature, round(weight, 8) AS weight, round(abs(weight), 8) AS size, CASE WHEN weight >= 0 THEN '+' ELSE '-' END AS direction FROM l""",
+)
 def _(t):
     coefs = linear.ridge(linear.fit_moments(scaled_rows(t), ["x1", "x2"], "y"), 1.0).coefficients(t.spark)
     size = F.abs("weight")
     return (
         coefs.where("feature <> '(intercept)'")
-        .select("feature", "weight", size.alias("size"), F.when(F.col("weight") >= 0, "+").otherwise("-").alias("direction"))
+        .select("feature", F.round("weight", 8).alias("weight"), F.round(size, 8).alias("size"), F.when(F.col("weight") >= 0, "+").otherwise("-").alias("direction"))
         .orderBy(F.desc("size"), "feature")
         .limit(10)
     )
