@@ -1,7 +1,7 @@
 """Times headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS
-(default 3, median is reported after one warm-up of the session).
+(default 3; the median is reported, a first warm-up run of each query is left out).
 """
 
 from __future__ import annotations
