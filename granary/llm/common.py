@@ -36,19 +36,23 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
     and the gaps between matches come from the same regular expression; running
     sums over chunks of 256 keep a text with very many matches near linear.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    pieces = F.transform(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), part.alias("p")),
-        lambda x: F.struct(
-            x["m"].alias("found"),
-            x["p"].alias("part"),
-            x["g"].alias("before"),
-            F.length(x["g"]).cast("long").alias("gap"),
-            (F.length(x["g"]) + F.length(x["m"])).cast("long").alias("step"),
-        ),
-    )
+    def zipped(found: Column) -> Column:
+        part = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        return F.transform(
+            F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g"), part.alias("p")),
+            # the text after the last match comes without a match
+            lambda x: F.struct(
+                x["m"].alias("found"),
+                x["p"].alias("part"),
+                x["g"].alias("before"),
+                F.length(x["g"]).cast("long").alias("gap"),
+                (F.length(x["g"]) + F.length(x["m"])).cast("long").alias("step"),
+            ),
+        )
+
+    # arrays of one element stand for names: every inner expression is computed once
+    matched = F.filter(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda m: F.size(m) > 0)
+    pieces = F.transform(matched, lambda m: F.filter(zipped(m), lambda x: x["found"].isNotNull()))
     zero = F.lit(0).cast("long")
 
     def place(box: Column) -> Column:
@@ -67,7 +71,7 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
         )
 
     boxed = F.transform(
-        F.array(pieces),
+        pieces,
         lambda rows: F.struct(
             rows.alias("rows"),
             F.aggregate(
@@ -82,7 +86,7 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
             ).alias("sums"),
         ),
     )
-    return F.when(F.size(found) > 0, F.flatten(F.transform(boxed, place)))
+    return F.flatten(F.transform(boxed, place))
 
 
 def _span(x: Column, before: Column) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import curriculum, pieces, quality, trie_counts
+from granary.llm import credentials, curriculum, pieces, private, quality, trie_counts
 from granary.sources.tables import Tables
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,16 @@ def op3_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(Tables(spark, folder).documents, public_tokenizers.path(PIECE_MODEL))
 
 
+def op5_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secret spans of all documents, with weak parts of credentials that complete each other."""
+    return credentials.secret_report(credentials.secret_spans(Tables(spark, folder).documents))
+
+
+def op7_bootstrapped_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data spans of all documents, with identifiers found through learned contexts."""
+    return private.private_report(private.private_spans(Tables(spark, folder).documents))
+
+
 def op8_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram token counts of all documents."""
     scores = trie_counts.unigram_pieces(public_tokenizers.path(PIECE_MODEL))
@@ -45,6 +55,13 @@ def op10_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_quality_classifier, op3_piece_encoding, op8_trie_token_counts, op10_curriculum_mix)
+    for f in (
+        op2_quality_classifier,
+        op3_piece_encoding,
+        op5_linked_secrets,
+        op7_bootstrapped_private_data,
+        op8_trie_token_counts,
+        op10_curriculum_mix,
+    )
 }
 ORACLES: dict[str, str] = {}
