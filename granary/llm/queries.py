@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import credentials, curriculum, pieces, private, quality, trie_counts
+from granary.llm import credentials, curriculum, pieces, pivots, private, quality, spotsigs, trie_counts
 from granary.sources.tables import Tables
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and likenesses."""
+    return spotsigs.edited_fingerprints(Tables(spark, folder).documents)
+
+
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality scores of all documents from trees fitted to ``labels.quality``."""
     t = Tables(spark, folder)
@@ -28,6 +33,25 @@ def op5_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.secret_report(credentials.secret_spans(Tables(spark, folder).documents))
 
 
+def op6_pivot_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest integer products of every 50th vector with all others."""
+    rows = Tables(spark, folder).embeddings.where(pivots.usable(F.col("embedding")))
+    rows = rows.select("vec_id", pivots.scaled(F.col("embedding")).alias("v"))
+    return pivots.top_products(rows, rows.where("vec_id % 50 = 0"))
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(256 AS DOUBLE) * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+        vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op7_bootstrapped_private_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data spans of all documents, with identifiers found through learned contexts."""
     return private.private_report(private.private_spans(Tables(spark, folder).documents))
@@ -56,12 +80,14 @@ def op10_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_spot_signatures,
         op2_quality_classifier,
         op3_piece_encoding,
         op5_linked_secrets,
+        op6_pivot_top_products,
         op7_bootstrapped_private_data,
         op8_trie_token_counts,
         op10_curriculum_mix,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_pivot_top_products": OP6_SQL}
