@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import credentials, curriculum, pieces, pivots, private, quality, spotsigs, trie_counts
+from granary.llm import brown, credentials, curriculum, order_minhash, pieces, pivots, private, quality, spotsigs, trie_counts
 from granary.sources.tables import Tables
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -28,6 +28,11 @@ def op3_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(Tables(spark, folder).documents, public_tokenizers.path(PIECE_MODEL))
 
 
+def op4_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Class n-gram scores of all documents."""
+    return brown.class_scores(Tables(spark, folder).documents)
+
+
 def op5_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secret spans of all documents, with weak parts of credentials that complete each other."""
     return credentials.secret_report(credentials.secret_spans(Tables(spark, folder).documents))
@@ -63,6 +68,11 @@ def op8_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return trie_counts.token_counts(Tables(spark, folder).documents, scores)
 
 
+def op9_order_minhash_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return order_minhash.near_duplicate_classes(Tables(spark, folder).documents)
+
+
 def op10_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of every document by the default weights and schedules, in order of first position."""
     plan = curriculum.training_plan(Tables(spark, folder).documents)
@@ -83,10 +93,12 @@ QUERIES = {
         op1_spot_signatures,
         op2_quality_classifier,
         op3_piece_encoding,
+        op4_class_ngrams,
         op5_linked_secrets,
         op6_pivot_top_products,
         op7_bootstrapped_private_data,
         op8_trie_token_counts,
+        op9_order_minhash_classes,
         op10_curriculum_mix,
     )
 }
