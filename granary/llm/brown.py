@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import crc_mod, materialize, text_or_empty
 
-CORE = 2000  # most frequent words, clustered among themselves
-CLASSES = 48  # classes of words; one more is that of the end of a text
+CORE = 1000  # most frequent words, clustered among themselves
+CLASSES = 48  # classes of words, at most 100; one more is that of the end of a text
 SWEEPS = 4
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 3_000_000
 HELD_OUT = (5, 1)  # crc32(doc_id) mod 5 = 1
 SMOOTHED = 0.05  # share of a transition that comes from class frequencies
 COUNTED = 150_000  # distinct words a task counts before it hands them on
@@ -161,19 +161,19 @@ def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray)
     """Blocks of texts: codes of their tokens and, for each word outside the core, its training contexts.
 
     Codes below the core's size are core words, those above number the block's
-    own words. Contexts are (side and class, count) lists; a neighbour outside
-    the core counts for no class.
+    own words. A context is one byte of side and class, so words have strings
+    of contexts; a neighbour outside the core counts for no class.
     """
     shared = marked.sparkSession.sparkContext.broadcast((core, classes))
     kind = marked.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"block string, doc_id array<{kind}>, held_out array<boolean>, size array<int>, codes array<int>, "
-        "word array<binary>, n array<int>, context array<array<int>>, times array<array<int>>"
+        f"block bigint, doc_id array<{kind}>, held_out array<boolean>, size array<int>, codes array<int>, "
+        "word array<binary>, n array<int>, context array<binary>"
     )
 
     def run(batches):
         ids, cls = shared.value
-        end, none = len(ids), len(cls)
+        end, none = len(ids), 255
         k = int(cls.max()) + 1
         own: dict[bytes, int] = {}
         docs: list = []
@@ -187,35 +187,35 @@ def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray)
             train = np.repeat(~np.array(held, bool), lengths)
             ends = np.cumsum(lengths)
             # class of each token's neighbours; the end stands on both sides of a text
-            c = np.append(np.append(cls[:end], np.full(len(own) + 1, none)), cls[end])  # own words, then the end
+            c = np.append(np.append(cls[:end], np.full(len(own), none)), cls[end]).astype(np.uint8)
             at_class = c[codes]
-            before = np.concatenate([[cls[end]], at_class[:-1]]) if len(codes) else at_class
-            after = np.concatenate([at_class[1:], [cls[end]]]) if len(codes) else at_class
+            before = np.concatenate([c[-1:], at_class[:-1]]) if len(codes) else at_class
+            after = np.concatenate([at_class[1:], c[-1:]]) if len(codes) else at_class
             full = lengths > 0
-            before[(ends - lengths)[full]] = cls[end]
-            after[ends[full] - 1] = cls[end]
+            before[(ends - lengths)[full]] = c[-1]
+            after[ends[full] - 1] = c[-1]
             rare = (codes >= end) & train
             local = codes[rare] - end
             n = np.bincount(local, minlength=len(own))
-            keys = np.concatenate(
-                [
-                    (local * (2 * k) + before[rare])[before[rare] < k],
-                    (local * (2 * k) + k + after[rare])[after[rare] < k],
-                ]
-            )
-            keys, times = np.unique(keys, return_counts=True)
-            offsets = np.searchsorted(keys // (2 * k), np.arange(len(own) + 1)).astype(np.int32)
-            inner = pa.array(offsets, pa.int32())
+            sides = np.concatenate([before[rare], after[rare] + np.uint8(k)])
+            keep = np.concatenate([before[rare] < k, after[rare] < k])
+            local = np.concatenate([local, local])[keep]
+            order = np.argsort(local, kind="stable")
+            offsets = np.concatenate([[0], np.bincount(local, minlength=len(own)).cumsum()]).astype(np.int32)
+            packed = np.ascontiguousarray(sides[keep][order])
             row = {
-                "block": pa.array([uuid.uuid4().hex]),
+                "block": pa.array([uuid.uuid4().int >> 65], pa.int64()),
                 "doc_id": pa.array([docs], pa.list_(id_type)),
                 "held_out": pa.array([held], pa.list_(pa.bool_())),
                 "size": _one(pa.array(lengths)),
                 "codes": _one(pa.array(codes.astype(np.int32))),
                 "word": _one(pa.array(list(own), pa.binary())),
                 "n": _one(pa.array(n.astype(np.int32))),
-                "context": _one(pa.ListArray.from_arrays(inner, pa.array((keys % (2 * k)).astype(np.int32)))),
-                "times": _one(pa.ListArray.from_arrays(inner, pa.array(times.astype(np.int32)))),
+                "context": _one(
+                    pa.Array.from_buffers(
+                        pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())]
+                    )
+                ),
             }
             own.clear(), docs.clear(), held.clear(), parts.clear()
             return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
@@ -258,8 +258,8 @@ def placed_words(blocks: DataFrame, fit: np.ndarray) -> DataFrame:
     blocks are held at a time. ``fit``: log probability of each (side and
     class) context for each class.
     """
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("word", "n", "context", "times")).alias("i", "w"))
-    rows = rows.select(F.col("w.word").alias("word"), "block", "i", F.col("w.n").alias("n"), F.col("w.context").alias("context"), F.col("w.times").alias("times"))
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("word", "n", "context")).alias("i", "w"))
+    rows = rows.select(F.col("w.word").alias("word"), "block", "i", F.col("w.n").alias("n"), F.col("w.context").alias("context"))
     parts = rows.repartition("word").sortWithinPartitions("word")
     shared = blocks.sparkSession.sparkContext.broadcast(fit)
 
@@ -285,14 +285,14 @@ def placed_words(blocks: DataFrame, fit: np.ndarray) -> DataFrame:
             starts = starts[starts < done]
             which = np.cumsum(new[:done]) - 1
             count = np.bincount(which, b.column(3).to_numpy(), len(starts)).astype(np.int64)
-            context, times = b.column(4), b.column(5)
-            flat, n = context.flatten().to_numpy(), times.flatten().to_numpy()
-            lengths = pc.list_value_length(context).to_numpy()
-            owner = np.repeat(which, lengths)
+            context = b.column(4)
+            offsets = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1]
+            flat = np.frombuffer(context.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            owner = np.repeat(which, np.diff(offsets))
             score = np.zeros((len(starts), table.shape[1]))
             for a in range(0, len(flat), 200_000):
                 z = slice(a, a + 200_000)
-                np.add.at(score, owner[z], table[flat[z]] * n[z, None])
+                np.add.at(score, owner[z], table[flat[z]])
             cls = score.argmax(1).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [b.column(1), b.column(2), pa.array(count[which]), pa.array(cls[which])], names=["block", "i", "c", "cls"]
@@ -308,7 +308,7 @@ def placed_words(blocks: DataFrame, fit: np.ndarray) -> DataFrame:
         if held:
             yield settle(held[0], False)
 
-    return parts.mapInArrow(run, "block string, i int, c bigint, cls int")
+    return parts.mapInArrow(run, "block bigint, i int, c bigint, cls int")
 
 
 def classed_texts(blocks: DataFrame, words: DataFrame, core_counts: np.ndarray, classes: np.ndarray, total: int, distinct: int) -> DataFrame:
@@ -422,6 +422,8 @@ def class_scores(docs: DataFrame, core_words: int = CORE, classes: int = CLASSES
     is unseen: train_tokens is 0. Repeated rows count as often as they occur.
     Other columns are ignored; an empty table gives no rows.
     """
+    if not 1 <= classes <= 100:
+        raise ValueError("classes must be 1 to 100: a context is one byte")
     marked = _marked(docs)
     train = marked.where(~F.col("held_out"))
     counts = materialize(word_counts(train), "words")
