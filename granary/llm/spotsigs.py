@@ -124,16 +124,21 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     place = materialize(place.join(before, "position").select("k", "h", "k_before", "h_before", "wanted"), "order")
     signed = keyed.withColumn("sigs", signatures(F.col("text")))
+    # both sides take the same columns from the one exchange of texts
     sent = signed.join(place, ["k", "h"]).select(
         F.col("k_before").alias("k"),
         F.col("h_before").alias("h"),
+        F.col("doc_id").alias("next_doc_id"),
+        F.col("n").alias("next_n_chars"),
         F.substring(F.col("text"), F.lit(1), F.col("wanted").cast("int")).alias("tail"),
         F.col("sigs").alias("next_sigs"),
     )
     once = Window.partitionBy("k", "h").orderBy(F.lit(0))
     sent = sent.withColumn("_i", F.row_number().over(once)).where("_i = 1").drop("_i")
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int"))
-    both = signed.join(sent, ["k", "h"]).select("doc_id", "n", "sigs", "next_sigs", F.concat(kept, "tail").alias("edited"))
+    both = signed.join(sent, ["k", "h"]).select(
+        "doc_id", "n", "sigs", "next_doc_id", "next_n_chars", "next_sigs", F.concat(kept, "tail").alias("edited")
+    )
     both = both.withColumn("edited_sigs", signatures(F.col("edited")))
     return both.select(
         "doc_id",
@@ -143,6 +148,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         shown(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        "next_doc_id",
+        "next_n_chars",
     )
 
 
