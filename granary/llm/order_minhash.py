@@ -231,7 +231,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     marked = materialize(marks.join(centres, ["sketch", "mark"]).select("sketch", "mark", "digest", "centre"), "marks")
 
     needed = marks.select("doc_id", "digest").distinct()
-    texts = rows.join(needed.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    # the wanted ids grow with the corpus, so this join never broadcasts them
+    wanted = needed.select("doc_id").distinct().hint("merge")
+    texts = rows.join(wanted, "doc_id").select("doc_id", "text")
     seqs = _sequences(texts, False).join(needed.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     seqs = materialize(seqs, "sequences")
 
