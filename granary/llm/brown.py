@@ -130,7 +130,8 @@ def exchange_classes(x: np.ndarray, y: np.ndarray, n: np.ndarray, words: int, cl
             between[c] -= after
             between[:, c] -= before
             between[c, c] -= own
-            rows, cols = between.sum(1), between.sum(0)
+            # the word's neighbours stay in their classes, whichever one it joins
+            rows, cols = between.sum(1) + before, between.sum(0) + after
             out_all, in_all = after.sum() + own, before.sum() + own
             # change of sum f(N_cd) - f(N_c.) - f(N_.d) when the word joins class c, f(v) = v log v
             gain = (xlogx(between + after[None, :]) - xlogx(between)).sum(1)

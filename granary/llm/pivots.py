@@ -169,7 +169,9 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int
     bounds = reach.join(bounds.select("query_id", F.col("score").alias("least")), "query_id", "left")
     # distance of the k-th best so far; the slack covers rounding
     radius = F.sqrt(F.greatest(F.col("square") + top - F.col("least") * 2, F.lit(0.0)))
-    near = bounds.withColumn("radius", F.coalesce(radius, F.lit(float("inf")))).join(annuli, "pivot")
+    # a query that has not found k vectors yet goes everywhere
+    radius = F.when(F.col("least").isNotNull(), radius).otherwise(float("inf"))
+    near = bounds.withColumn("radius", radius).join(annuli, "pivot")
     near = near.where(below <= F.col("radius") * (1 + 1e-9) + 1e-6)
     rest = near.join(seeds.select("query_id", "pivot", "annulus"), ["query_id", "pivot", "annulus"], "left_anti")
     found = first.unionByName(looked(rest.select("query_id", "block", "pivot", "annulus", "least")))
