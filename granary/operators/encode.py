@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import col
 from granary.operators.ranking import sorted_positions
+from granary.operators.joins import join_groups
 from granary.session import sized
 
 WIDE_LIMIT = 1000
@@ -106,8 +107,7 @@ def out_of_fold_target(
     total = cells.agg(F.sum("cn").alias("an"), F.sum("cs").alias("asum"))
     outside = (F.col("asum") - F.col("fs")) / (F.col("an") - F.col("fn"))
     table = (
-        cells.join(per_cat, c)
-        .join(F.broadcast(per_fold), fold)
+        join_groups(join_groups(cells, per_cat, [c]), F.broadcast(per_fold), [fold])
         .join(F.broadcast(total))
         .select(
             c,
@@ -117,7 +117,7 @@ def out_of_fold_target(
             ).alias(out),
         )
     )
-    return df.join(sized(table, "encoding"), [c, fold])
+    return join_groups(df, sized(table, "encoding"), [c, fold])
 
 
 def encode_columns(df: DataFrame, plan: dict[str, tuple[str, dict]]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -102,17 +103,16 @@ def house_features() -> list[Derived]:
 
 
 def polynomial(cols: Sequence[str], degree: int = 2, interaction_only: bool = False, bias: bool = False) -> list[Column]:
-    """Terms in the order: (1), originals, degree-2 terms, degree-3 terms; at most degree 3."""
-    degree = min(degree, 3)
+    """Terms in the order: (1), originals, products of 2, 3, .. ``degree`` columns.
+
+    ``interaction_only``: every column at most once in a product.
+    """
+    if degree < 1:
+        raise ValueError("degree must be at least 1")
+    chosen = combinations if interaction_only else combinations_with_replacement
     terms = [F.lit(1.0).alias("1")] if bias else []
-    terms += [col(c).alias(c) for c in cols]
-    if degree >= 2:
-        pairs = combinations(cols, 2) if interaction_only else combinations_with_replacement(cols, 2)
-        terms += [(col(a) * col(b)).alias(f"{a}*{b}") for a, b in pairs]
-    if degree >= 3 and not interaction_only:
-        terms += [
-            (col(a) * col(b) * col(c)).alias(f"{a}*{b}*{c}") for a, b, c in combinations_with_replacement(cols, 3)
-        ]
+    for d in range(1, degree + 1):
+        terms += [reduce(lambda x, y: x * y, [col(c) for c in part]).alias("*".join(part)) for part in chosen(cols, d)]
     return terms
 
 

@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.joins import join_groups
 from granary.operators.quantiles import split_points
 from granary.session import materialize
 
@@ -65,14 +66,16 @@ def hash_cuts(
         touched, inner = F.broadcast(touched), F.broadcast(inner)
     within = Window.partitionBy(*by, "_b").orderBy("_h")
     found = (
-        rows.join(touched, [*by, "_b"], "left_semi")
-        .withColumn("_rn", F.row_number().over(within))
-        .join(inner.withColumnRenamed("_r", "_rn"), [*by, "_b", "_rn"])
+        join_groups(
+            join_groups(rows, touched, [*by, "_b"], "left_semi").withColumn("_rn", F.row_number().over(within)),
+            inner.withColumnRenamed("_r", "_rn"),
+            [*by, "_b", "_rn"],
+        )
         .groupBy(*by)
         .agg(*[F.max(F.when(F.col("_i") == i, F.col("_h"))).alias(f"c{i}") for i in range(len(ranks))])
     )
     sizes = counts.select(*by, "n").distinct()
-    full = sizes.join(found, by, "left") if by else sizes.join(F.broadcast(found))
+    full = join_groups(sizes, found, by, "left") if by else sizes.join(F.broadcast(found))
     return full.select(
         *by, "n", *[F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(len(ranks))]
     )

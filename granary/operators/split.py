@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import col
+from granary.operators.joins import join_groups
 from granary.operators.quantiles import values_at_ranks
 from granary.operators.ranking import hash_cuts, key_hash
 from granary.session import sized
@@ -33,7 +34,7 @@ def _with_cuts(df, keys, seed, ranks: Sequence[Column], by: Sequence[str]) -> Da
     cuts = hash_cuts(hashed, "_hash", ranks, by)
     if not by:
         return hashed.join(F.broadcast(cuts))
-    return hashed.join(sized(cuts, "cuts"), list(by))
+    return join_groups(hashed, sized(cuts, "cuts"), by)
 
 
 def train_test_split(
@@ -107,7 +108,7 @@ def with_class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = sized(df.groupBy(label).agg(F.count("*").alias("_c")))
     totals = counts.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
     return (
-        df.join(counts, label)
+        join_groups(df, counts, [label])
         .join(F.broadcast(totals))
         .withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c")))
         .drop("_c", "_n", "_k")

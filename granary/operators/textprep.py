@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import col
@@ -16,53 +16,77 @@ from granary.session import fill_cores
 
 # ------------------------------------------------------------ mails
 
+PLAIN, PAGE = "text/plain", "text/html"
 
-def _structure(message) -> str:
-    payload = message.get_payload()
-    if isinstance(payload, list):
-        return "multipart(" + ", ".join(_structure(p) for p in payload) + ")"
-    return message.get_content_type()
 
-
-def _bodies(message) -> tuple[str | None, str | None]:
-    """First plain part (if any) and last HTML part before it."""
-    page = None
-    for part in message.walk():
-        kind = part.get_content_type()
-        if kind not in ("text/plain", "text/html"):
-            continue
+def _mail_parts(message, depth: int = 0) -> Iterator[tuple[int, str, str | None]]:
+    """(depth, kind, text) of a mail's parts, containers before their parts; only texts and pages have text."""
+    nested = message.is_multipart()
+    kind = message.get_content_type()
+    text = None
+    if not nested and kind in (PLAIN, PAGE):
         try:
-            content = part.get_content()
-        except (LookupError, UnicodeError, KeyError):
-            content = str(part.get_payload())
-        if kind == "text/plain":
-            return content, page
-        page = content
-    return None, page
+            text = message.get_content()
+        except (LookupError, UnicodeError):  # unknown or wrong character set: as it stands
+            text = str(message.get_payload())
+    yield depth, "multipart" if nested else kind, text
+    for part in message.iter_parts() if nested else ():
+        yield from _mail_parts(part, depth + 1)
 
 
-def parse_mails(mails: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, structure, plain, page) per raw mail."""
+def mail_parts(mails: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, parts) per raw mail; parts: array of (number, depth, kind, text)."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import email
         import email.policy
 
         for b in batches:
-            parsed = [email.message_from_bytes(bytes(x), policy=email.policy.default) for x in b["content"]]
-            bodies = [_bodies(m) for m in parsed]
-            yield pd.DataFrame(
-                {
-                    "key": b["key"],
-                    "structure": [_structure(m) for m in parsed],
-                    "plain": [x[0] for x in bodies],
-                    "page": [x[1] for x in bodies],
-                }
-            )
-
-    rows = mails.select(col(key).cast("long").alias("key"), col(content).cast("binary").alias("content"))
-    out = rows.mapInPandas(parse, "key long, structure string, plain string, page string")
-    return out.withColumnRenamed("key", key)
+            parts = [
+                [
+                    {"number": i, "depth": d, "kind": k, "text": t}
+                    for i, (d, k, t) in enumerate(
+                        _mail_parts(email.message_from_bytes(bytes(raw), policy=email.policy.default))
+                    )
+                ]
+                for raw in b["content"]
+            ]
+            yield pd.DataFrame({"key": b["key"], "parts": parts})
+
+    kind = mails.schema[key].dataType.simpleString()
+    rows = fill_cores(mails.select(F.col(key).alias("key"), F.col(content).alias("content")), "key").mapInPandas(
+        split, f"key {kind}, parts array<struct<number:int,depth:int,kind:string,text:string>>"
+    )
+    return rows.withColumnRenamed("key", key)
+
+
+def parse_mails(mails: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, structure, plain, page) per raw mail.
+
+    ``structure`` nests the kinds of its parts; ``plain`` is the first plain
+    text and ``page`` the last page before it (the last of all without one).
+    """
+    parts = F.col("parts")
+
+    def shown(p: Column, i: Column) -> Column:
+        following = F.get(parts, i + 1)
+        box = p["kind"] == "multipart"
+        closed = p["depth"] - F.coalesce(following["depth"], F.lit(0)) + F.when(box, 1).otherwise(0)
+        name = F.when(box, F.lit("multipart(")).otherwise(p["kind"])
+        comma = F.when(following.isNotNull() & (closed >= F.when(box, 1).otherwise(0)), ", ").otherwise("")
+        return F.concat(name, F.repeat(F.lit(")"), closed.cast("int")), comma)
+
+    first = F.get(F.filter(parts, lambda p: p["kind"] == PLAIN), F.lit(0))
+    rows = mail_parts(mails, key, content).withColumn("_first", first)
+    pages = F.filter(
+        parts, lambda p: (p["kind"] == PAGE) & (F.col("_first").isNull() | (p["number"] < F.col("_first.number")))
+    )
+    return rows.select(
+        key,
+        F.array_join(F.transform(parts, shown), "").alias("structure"),
+        F.col("_first.text").alias("plain"),
+        F.try_element_at(pages, F.lit(-1))["text"].alias("page"),
+    )
 
 
 def mail_text(parsed: DataFrame) -> DataFrame:

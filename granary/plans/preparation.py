@@ -313,7 +313,7 @@ def _(t):
 )
 def _(t):
     df = t.lineitem.select(*LINE_KEY, F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
-    out = df.select(*LINE_KEY, *features.polynomial(["x", "y"], 5, bias=True))
+    out = df.select(*LINE_KEY, *features.polynomial(["x", "y"], 3, bias=True))
     return out.toDF(*LINE_KEY, "bias", "x", "y", "xx", "xy", "yy", "xxx", "xxy", "xyy", "yyy")
 
 

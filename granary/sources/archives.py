@@ -78,7 +78,10 @@ ATTRIBUTE = r"(?i)^@attribute\s+(?:'([^']+)'|\"([^\"]+)\"|(\S+))\s+(.+)$"
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """ARFF text scan: @attribute lines give the schema, the rest are CSV rows."""
+    """ARFF text scan: @attribute lines give the schema, the rest are CSV rows.
+
+    Values may stand in single quotes. A question mark is a missing value, quoted or not.
+    """
     lines = spark.read.text(path)
     header = (
         lines.where(F.col("value").rlike(r"(?i)^@attribute"))
@@ -92,14 +95,16 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
         name = next(g for g in m.groups()[:3] if g)
         kind = m.group(4).strip().lower()
         fields.append((name, "double" if kind in ("numeric", "real", "integer") else "string"))
-    parts = F.split("value", ",")
-    body = lines.where(~F.col("value").rlike(r"^\s*(@|%|$)"))
+    # data rows may begin with @ too, so only the header's own words are header lines
+    body = lines.where(~F.col("value").rlike(r"(?i)^\s*(@(relation|attribute|data)\b|%|$)"))
+    cells = ", ".join(f"c{i} string" for i in range(len(fields)))
+    options = {"quote": "'", "escape": "\\", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": "?", "emptyValue": ""}
+    row = body.select(F.from_csv("value", cells, options).alias("r"))
     out = []
     for i, (name, kind) in enumerate(fields):
-        value = F.trim(F.get(parts, F.lit(i)))
-        value = F.when(value != "?", F.regexp_replace(value, r"^['\"]|['\"]$", ""))
+        value = F.col(f"r.c{i}")
         out.append((value.try_cast("double") if kind == "double" else value).alias(name))
-    return body.select(*out)
+    return row.select(*out)
 
 
 def read_documents(spark: SparkSession, path: str, min_name: int = 20) -> DataFrame:
@@ -126,5 +131,12 @@ def write_arff(df: DataFrame, path: str, relation: str) -> None:
     kinds = {f.name: "numeric" if f.dataType.typeName() in ("double", "integer", "long", "float") else "string" for f in df.schema}
     header = [f"@relation {relation}", *[f"@attribute {n} {k}" for n, k in kinds.items()], "@data"]
     spark.createDataFrame([("\n".join(header),)], "value string").coalesce(1).write.text(path)
-    cells = [F.coalesce(F.col(n).cast("string"), F.lit("?")) for n in kinds]
+
+    def cell(n: str):
+        value = F.col(n).cast("string")
+        quoted = F.concat(F.lit("'"), F.regexp_replace(value, r"(['\\\\])", r"\\$1"), F.lit("'"))
+        plain = value.rlike(r"^[A-Za-z0-9_.+-]+$")
+        return F.when(value.isNull(), "?").when(plain, value).otherwise(quoted)
+
+    cells = [cell(n) for n in kinds]
     df.select(F.concat_ws(",", *cells).alias("value")).write.mode("append").text(path)

@@ -82,7 +82,9 @@ def test_polynomial_order(spark):
     df = spark.createDataFrame([(2.0, 3.0)], "x double, y double")
     assert list(df.select(*features.polynomial(["x", "y"], 3)).first()) == [2, 3, 4, 6, 9, 8, 12, 18, 27]
     assert df.select(*features.polynomial(["x", "y"], 2, interaction_only=True)).columns == ["x", "y", "x*y"]
-    assert len(features.polynomial(["x", "y"], 9)) == 9
+    assert len(features.polynomial(["x", "y"], 9)) == 54
+    assert df.select(*features.polynomial(["x", "y"], 5)).columns[-1] == "y*y*y*y*y"
+    assert len(features.polynomial(["a", "b", "c"], 3, interaction_only=True)) == 7
 
 
 def test_house_features_skip_absent_inputs(spark):
@@ -241,3 +243,28 @@ def test_online_weights_find_the_line(spark):
     feed = spark.readStream.schema("id long, x double, y double").option("maxFilesPerTrigger", 1).parquet(path)
     out = jobs.online_ridge(feed, ["x"], "y", rate=0.4, alpha=0.0).orderBy(F.desc("batch")).first()
     assert out.weights == pytest.approx([1.0, 2.0], abs=0.05) and out.n > 0
+
+
+def test_null_groups_keep_their_rows(spark):
+    from granary.operators import encode, split
+
+    df = spark.range(100).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"), (F.col("id") % 7).alias("y"))
+    parts = split.train_test_split(df, ["id"], 0.2, 1, by=["g"]).groupBy("g").agg(F.count("*").alias("n"), F.sum("is_test").alias("t"))
+    assert {r.g: (r.n, r.t) for r in parts.collect()} == {k: (25, 5) for k in (None, 1, 2, 3)}
+    folds = split.kfold(df, ["id"], 5, 1, by=["g"])
+    assert folds.count() == 100 and folds.groupBy("g", "fold").count().where("count <> 5").count() == 0
+    assert {r.weight for r in split.with_class_weights(df, "g").collect()} == {1.0}
+    assert split.with_class_weights(df, "g").count() == 100
+    coded = encode.out_of_fold_target(folds, "g", "y", "fold", out="e")
+    assert coded.count() == 100 and coded.where("e IS NULL").count() == 0
+
+
+def test_arff_quotes_and_marks(spark, tmp_path):
+    from granary.sources import archives
+
+    path = str(tmp_path / "t.arff")
+    rows = [("a, b", 3.0), ("@home", 4.0), ("it's", None), (None, 5.0), ("% no comment", 2.0), ("", 6.0)]
+    archives.write_arff(spark.createDataFrame(rows, "n string, v double"), path, "r")
+    got = archives.read_arff(spark, path)
+    assert got.dtypes == [("n", "string"), ("v", "double")]
+    assert sorted(map(str, got.collect())) == sorted(f"Row(n={n!r}, v={v!r})" for n, v in rows)
