@@ -1,8 +1,9 @@
-"""Sufficient statistics of linear models: counts, sums and cross products per group.
+"""Sufficient statistics of linear models: counts, means and central cross products per group.
 
 One pass over the data serves every fold, penalty and scaling. Few columns are
-summed inside the JVM (whole-stage code, map-side combine); many columns go
-through Arrow batches that emit one partial matrix per task and group.
+summed inside the JVM (map-side combine); many columns go through Arrow batches
+that emit one partial matrix per task and group. Both keep every group, the
+null one and those named by strings too, and give the same numbers.
 """
 
 from __future__ import annotations
@@ -12,39 +13,43 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from granary.functions.scalars import col
 
-JVM_COLUMNS = 12
+#: more columns would need so many aggregation buffers that Spark stops compiling the plan
+JVM_COLUMNS = 6
+#: a group's partial matrices meet in this many parts before they meet as one
+MERGE_PARTS = 256
 
 
 @dataclass(frozen=True)
 class Moments:
-    """Sums around a fixed shift; the last column is the target."""
+    """Count, means and cross products around them; the last column is the target."""
 
     names: tuple[str, ...]
-    shift: np.ndarray
     n: float
-    s1: np.ndarray
-    s2: np.ndarray
+    mean: np.ndarray
+    scatter: np.ndarray
 
     def __add__(self, other: Moments) -> Moments:
-        return Moments(self.names, self.shift, self.n + other.n, self.s1 + other.s1, self.s2 + other.s2)
+        n = self.n + other.n
+        if not n:
+            return self
+        d = other.mean - self.mean
+        between = np.outer(d, d) * (self.n * other.n / n)
+        return Moments(self.names, n, self.mean + d * (other.n / n), self.scatter + other.scatter + between)
 
     def __sub__(self, other: Moments) -> Moments:
-        return Moments(self.names, self.shift, self.n - other.n, self.s1 - other.s1, self.s2 - other.s2)
-
-    @property
-    def mean(self) -> np.ndarray:
-        return self.shift + self.s1 / self.n
-
-    @property
-    def scatter(self) -> np.ndarray:
-        """Cross products around the mean."""
-        return self.s2 - np.outer(self.s1, self.s1) / self.n
+        n = self.n - other.n
+        if not n:
+            return Moments(self.names, 0.0, np.zeros_like(self.mean), np.zeros_like(self.scatter))
+        mean = self.mean - (other.mean - self.mean) * (other.n / n)
+        d = other.mean - mean
+        return Moments(self.names, n, mean, self.scatter - other.scatter - np.outer(d, d) * (other.n * n / self.n))
 
     @property
     def std(self) -> np.ndarray:
@@ -52,15 +57,13 @@ class Moments:
 
     def keep(self, features: Sequence[str]) -> Moments:
         idx = [self.names.index(f) for f in features] + [len(self.names) - 1]
-        return Moments(
-            tuple(self.names[i] for i in idx), self.shift[idx], self.n, self.s1[idx], self.s2[np.ix_(idx, idx)]
-        )
+        return Moments(tuple(self.names[i] for i in idx), self.n, self.mean[idx], self.scatter[np.ix_(idx, idx)])
 
     def rescaled(self, mean: np.ndarray, std: np.ndarray) -> Moments:
         """Moments of (x - mean) / std for the features; the target stays."""
         m = np.append(mean, 0.0)
         s = np.append(std, 1.0)
-        return Moments(self.names, (self.shift - m) / s, self.n, self.s1 / s, self.s2 / np.outer(s, s))
+        return Moments(self.names, self.n, (self.mean - m) / s, self.scatter / np.outer(s, s))
 
     def squared_error(self, weights: np.ndarray, intercept: float) -> float:
         """Sum of squared residuals of a linear predictor, without the rows."""
@@ -74,72 +77,74 @@ class Moments:
 
 
 def moments(df: DataFrame, features: Sequence[str], target: str, by: str | Column | None = None) -> dict:
-    """{group: Moments}; rows with a null are left out. Without ``by`` the key is None.
+    """{group: Moments}; rows with a null or NaN cell are left out. Without ``by`` the key is None.
 
-    Groups are folds, batches or sizes: a number the caller chose.
+    Groups are folds, batches or sizes, of any type: a number of them that the
+    caller chose. Rows whose group is null are the group None.
     """
-    names = [*features, target]
+    names = tuple([*features, target])
     xs = [col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]
     group = (col(by) if by is not None else F.lit(None).cast("long")).alias("g")
     rows = df.select(group, *xs).dropna(subset=[f"x{i}" for i in range(len(names))])
-    first = rows.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(names))]).first()
-    shift = np.array([v if v is not None else 0.0 for v in first], dtype=float)
-    if len(names) <= JVM_COLUMNS:
-        return _jvm(rows, names, shift)
-    return _arrow(rows, names, shift)
+    return (_in_expressions if len(names) <= JVM_COLUMNS else _in_batches)(rows, names)
 
 
-def _jvm(rows: DataFrame, names: list[str], shift: np.ndarray) -> dict:
+def _in_expressions(rows: DataFrame, names: tuple[str, ...]) -> dict:
     p = len(names)
-    d = [F.col(f"x{i}") - F.lit(float(shift[i])) for i in range(p)]
-    aggs = [F.count("*").alias("n"), *[F.sum(d[i]).alias(f"s{i}") for i in range(p)]]
-    aggs += [F.sum(d[i] * d[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
+    aggs = [F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]]
+    aggs += [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
     out = {}
     for r in rows.groupBy("g").agg(*aggs).collect():
-        s2 = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                s2[i, j] = s2[j, i] = r[f"s{i}_{j}"]
-        out[r.g] = Moments(tuple(names), shift, float(r.n), np.array([r[f"s{i}"] for i in range(p)]), s2)
+        c = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        out[r.g] = Moments(names, float(r.n), np.array([r[f"m{i}"] for i in range(p)]), c * r.n)
     return out
 
 
-def _arrow(rows: DataFrame, names: list[str], shift: np.ndarray) -> dict:
+def _in_batches(rows: DataFrame, names: tuple[str, ...]) -> dict:
     p = len(names)
     cols = [f"x{i}" for i in range(p)]
 
+    def table(found: dict, kind: pa.DataType) -> dict:
+        ms = list(found.values())
+        lists = pa.list_(pa.float64())
+        return {
+            "g": pa.array(list(found), kind),
+            "n": pa.array([m.n for m in ms], pa.float64()),
+            "mean": pa.array([m.mean for m in ms], lists),
+            "scatter": pa.array([m.scatter.ravel() for m in ms], lists),
+        }
+
     def partial(batches):
-        acc: dict = {}
+        found: dict = {}
+        kind = None
         for b in batches:
-            z = b[cols].to_numpy(dtype=float) - shift
-            keys = b["g"]
-            for g in [None] if keys.isna().all() else keys.unique():
-                zz = z if g is None else z[(keys == g).to_numpy()]
-                n, s1, s2 = acc.get(g, (0, 0.0, 0.0))
-                acc[g] = (n + len(zz), s1 + zz.sum(axis=0), s2 + zz.T @ zz)
-        for g, (n, s1, s2) in acc.items():
-            yield pd.DataFrame({"g": [g], "n": [float(n)], "s1": [s1], "s2": [s2.ravel()]})
-
-    def combine(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "g": [part["g"].iloc[0]],
-                "n": [part["n"].sum()],
-                "s1": [np.sum(np.stack(part["s1"].to_numpy()), axis=0)],
-                "s2": [np.sum(np.stack(part["s2"].to_numpy()), axis=0)],
-            }
+            kind = b.schema.field("g").type
+            keys = b.column("g").dictionary_encode(null_encoding="encode")
+            index = keys.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(index, kind="stable")
+            z = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols])[order]
+            ends = np.cumsum(np.bincount(index, minlength=len(keys.dictionary)))
+            for g, part in zip(keys.dictionary.to_pylist(), np.split(z, ends[:-1])):
+                mean = part.mean(axis=0)
+                m = Moments(names, float(len(part)), mean, (part - mean).T @ (part - mean))
+                found[g] = found[g] + m if g in found else m
+        if found:
+            yield pa.RecordBatch.from_pydict(table(found, kind))
+
+    def merged(part: pa.Table) -> pa.Table:
+        ms = (
+            Moments(names, n, np.array(m), np.array(s).reshape(p, p))
+            for n, m, s in zip(part["n"].to_pylist(), part["mean"].to_pylist(), part["scatter"].to_pylist())
         )
-
-    schema = "g long, n double, s1 array<double>, s2 array<double>"
-    parts = rows.withColumn("g", F.col("g").cast("long")).mapInPandas(partial, schema)
-    parts = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    merged = parts.groupBy("g", "_salt").applyInPandas(lambda x: combine(x.drop(columns="_salt")), schema)
-    out: dict = {}
-    for r in merged.collect():
-        m = Moments(tuple(names), shift, r.n, np.array(r.s1), np.array(r.s2).reshape(p, p))
-        key = None if r.g is None else int(r.g)
-        out[key] = out[key] + m if key in out else m
-    return out
+        return pa.table(table({part["g"][0].as_py(): reduce(lambda a, b: a + b, ms)}, part.schema.field("g").type))
+
+    schema = StructType([rows.schema["g"]]).add("n", DoubleType())
+    schema = schema.add("mean", ArrayType(DoubleType())).add("scatter", ArrayType(DoubleType()))
+    parts = rows.mapInArrow(partial, schema)
+    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS)))
+    parts = salted.groupBy("g", "salt").applyInArrow(merged, schema)
+    whole = parts.groupBy("g").applyInArrow(merged, schema)
+    return {r.g: Moments(names, r.n, np.array(r.mean), np.array(r.scatter).reshape(p, p)) for r in whole.collect()}
 
 
 def total(groups: dict) -> Moments:

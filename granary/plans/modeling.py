@@ -73,6 +73,25 @@ def _(t):
     return d.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+@query(
+    "e5_wide_statistics",
+    """SELECT label, i AS cell, count(*) AS n, round(avg(embedding[i]::DOUBLE), 6) AS mean,
+        round(var_pop(embedding[i]::DOUBLE), 6) AS variance, round(covar_pop(embedding[i]::DOUBLE, embedding[64]::DOUBLE), 6) AS with_last
+      FROM embeddings, range(1, 64) AS cells(i) GROUP BY label, i""",
+)
+def _(t):
+    """63 embedding cells against the last one, per label."""
+    cells = [f"e{i}" for i in range(1, 65)]
+    df = t.embeddings.select("label", *[F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate(cells)])
+    rows = []
+    for label, m in moments(df, cells[:-1], cells[-1], "label").items():
+        v = m.scatter / m.n
+        rows += [(label, i + 1, int(m.n), float(m.mean[i]), float(v[i, i]), float(v[i, -1])) for i in range(63)]
+    kind = t.embeddings.schema["label"].dataType.simpleString()
+    d = t.spark.createDataFrame(rows, f"label {kind}, cell long, n long, mean double, variance double, with_last double")
+    return d.withColumns({c: F.round(c, 6) for c in ("mean", "variance", "with_last")})
+
+
 @query(
     "m1_linear_regression",
     coefficient_sql("(s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12)", "(s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12)", f"SELECT {S_SQL} FROM {REG}"),

@@ -31,19 +31,33 @@ def ridge_closed(x, y, alpha):
     return w, y.mean() - x.mean(0) @ w
 
 
-@pytest.mark.parametrize("p", [5, 14])
-def test_moments_inside_jvm_and_in_batches(spark, p):
-    x, y = sparse_problem(p=p)
-    df, cols = frame(spark, x, y, fold=np.arange(len(y)) % 3)
-    groups = moments(df.repartition(4), cols, "y", "fold")
-    z = np.column_stack([x, y])
+@pytest.mark.parametrize("width", [3, 14, 40])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_moments_inside_jvm_and_in_batches(spark, width, kind):
+    x, y = sparse_problem(p=40)
+    x, y = x + 1e6, y  # far from zero: sums of squares would lose digits
+    df, cols = frame(spark, x, y, fold=np.arange(len(y)) % 4)
+    cols = cols[:width]
+    # the last fold is the null group
+    fold = F.when(F.col("fold") < 3, F.col("fold").cast(kind))
+    groups = moments(df.repartition(4), cols, "y", fold)
+    assert set(groups) == {*([0, 1, 2] if kind == "long" else ["0", "1", "2"]), None}
+    z = np.column_stack([x[:, :width], y])
     for k, m in groups.items():
-        part = z[np.arange(len(y)) % 3 == k]
+        part = z[np.arange(len(y)) % 4 == (3 if k is None else int(k))]
         assert m.n == len(part)
-        np.testing.assert_allclose(m.mean, part.mean(0), atol=1e-10)
+        np.testing.assert_allclose(m.mean, part.mean(0), rtol=1e-12)
         c = part - part.mean(0)
-        np.testing.assert_allclose(m.scatter, c.T @ c, atol=1e-7)
-    np.testing.assert_allclose(total(groups).mean, z.mean(0), atol=1e-10)
+        np.testing.assert_allclose(m.scatter, c.T @ c, atol=1e-6)
+    whole = total(groups)
+    c = z - z.mean(0)
+    np.testing.assert_allclose(whole.mean, z.mean(0), rtol=1e-12)
+    np.testing.assert_allclose(whole.scatter, c.T @ c, atol=1e-6)
+    rest = whole - groups[None]
+    part = z[np.arange(len(y)) % 4 < 3]
+    c = part - part.mean(0)
+    np.testing.assert_allclose(rest.scatter, c.T @ c, atol=1e-5)
+    assert moments(df.limit(0), cols, "y", fold) == {}
 
 
 def test_linear_and_ridge_equal_closed_form(spark):
