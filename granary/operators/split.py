@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from granary.functions.scalars import col
 from granary.operators.joins import join_groups
@@ -80,19 +81,31 @@ def sample_majority(
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n_first: int, n_rows: int) -> Column:
-    """Predicate for the first ``n_first`` rows in ascending (order[0], order[1], ..)."""
+    """Predicate for the first ``n_first`` rows in ascending (order[0], order[1], ..), numbers of any size."""
+    longs = [c for c in order if isinstance(df.schema[c].dataType, LongType)]
+    ends = df.agg(*[f(c).alias(f"{n}_{c}") for c in longs for n, f in (("a", F.min), ("b", F.max))]).first() if longs else ()
+    exact = all(v is None or abs(v) <= 1 << 53 for v in ends)
+    parts = []
+    for c in order:
+        if exact or c not in longs:
+            parts.append(col(c).cast("double"))
+        else:  # a double does not hold them: upper half, then lower half
+            parts += [F.shiftright(c, 32).cast("double"), col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
+    return _first(df, parts, n_first, n_rows)
+
+
+def _first(df: DataFrame, order: Sequence[Column], n_first: int, n_rows: int) -> Column:
     if n_first <= 0:
         return F.lit(False)
     if n_first >= n_rows:
         return F.lit(True)
-    key, rest = order[0], list(order[1:])
-    cut = values_at_ranks(df, key, [n_first - 1], n_rows)[0]
-    here = col(key).cast("double")
+    here, rest = order[0], order[1:]
+    cut = values_at_ranks(df.select(here.alias("_here")), "_here", [n_first - 1], n_rows)[0]
     if not rest:
         return here <= cut
     row = df.agg(F.count_if(here < cut).alias("below"), F.count_if(here == cut).alias("ties")).first()
     ties = df.where(here == cut)
-    return (here < cut) | ((here == cut) & first_rows(ties, rest, n_first - row.below, row.ties))
+    return (here < cut) | ((here == cut) & _first(ties, rest, n_first - row.below, row.ties))
 
 
 def temporal_split(df: DataFrame, ts: str, key: str, test_size: float) -> DataFrame:

@@ -827,8 +827,7 @@ def _(t):
     digits = svm_rows(t)
     classes = RandomForestClassifier(labelCol="label", numTrees=10, maxDepth=5, seed=42).fit(digits)
     rows = [(m, n, float(v)) for m, model in (("tree", tree), ("forest", forest)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
-    top = classes.featureImportances.toArray()
-    rows += [("digits", f"cell_{i}", float(top[i])) for i in np.argsort(-top)[:10]]
+    rows += [("digits", f"cell_{i}", float(v)) for i, v in enumerate(classes.featureImportances.toArray())]
     return t.spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
@@ -846,9 +845,8 @@ def _(t):
     from granary.models.spark_ml import weighted_kmeans
 
     centres = weighted_kmeans(t.embeddings.withColumn("w", F.col("label") + 1.0), "embedding", 10, 42, "w")
-    return t.spark.createDataFrame([(i, c[:4]) for i, c in enumerate(centres)], "cluster int, head array<double>").select(
-        "cluster", *[F.round(F.get("head", F.lit(i)), 6).alias(f"c{i}") for i in range(4)]
-    )
+    d = t.spark.createDataFrame(list(enumerate(centres)), "cluster int, centre array<double>")
+    return d.select("cluster", F.posexplode("centre").alias("cell", "value")).withColumn("value", F.round("value", 6))
 
 
 # ---------------------------------------------------------------- U composition
@@ -856,7 +854,7 @@ def _(t):
 
 @query("u1_stage_composition")
 def _(t):
-    """Named stages fitted in order, one replaced by position, then scored."""
+    """Named stages fitted in order, then scored."""
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import LinearRegression
 

@@ -45,6 +45,15 @@ def test_values_at_ranks(spark):
     assert values_at_ranks(df, "v", ranks, len(v)) == [s[r] for r in ranks]
 
 
+@pytest.mark.parametrize("start", [-(1 << 63), -40, (1 << 53) - 3, (1 << 63) - 30])
+def test_first_rows_of_large_keys(spark, start):
+    keys = [start + i for i in range(30)]
+    df = spark.createDataFrame([(k, k % 3) for k in keys], "k long, g long").repartition(3)
+    for order in (["k"], ["g", "k"]):
+        want = sorted(keys, key=lambda k: (k % 3, k) if len(order) == 2 else k)[:14]
+        assert {r.k for r in df.where(split.first_rows(df, order, 14, 30)).collect()} == set(want)
+
+
 @pytest.mark.parametrize("buckets", [2, 8, 64])
 def test_row_number_with_heavy_value(spark, buckets):
     df, v, _ = skewed(spark)
