@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from granary.llm import curriculum, order_minhash, pieces, private, quality
 from granary.session import materialize
@@ -24,8 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     forest = quality.train(docs, Tables(spark, folder).labels)
     if not len(forest.roots):
         return docs
-    scored = quality.quality_scores(docs, forest, keep=True)
-    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.good_documents(docs, forest)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

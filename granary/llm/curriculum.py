@@ -152,16 +152,18 @@ def mixed(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """The documents in training order, once per copy; columns as in ``docs``.
 
     Equal rows have equal plans up to order, so repeated rows are numbered on
-    both sides before they are joined.
+    both sides before they are joined. All columns travel as one struct, so
+    their names cannot clash.
     """
     key = F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("_h")
     twin = Window.partitionBy("_h", "_d").orderBy(F.lit(0))
-    left = docs.select("*", key, F.col("doc_id").alias("_d")).withColumn("_k", F.row_number().over(twin))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    left = docs.select(whole, key, F.col("doc_id").alias("_d")).withColumn("_k", F.row_number().over(twin))
     right = plan.select(F.col("row_hash").alias("_h"), F.col("doc_id").alias("_d"), "positions")
     right = right.withColumn("_k", F.row_number().over(twin))
     left, right = left.alias("l"), right.alias("r")
     match = (
         (F.col("l._h") == F.col("r._h")) & (F.col("l._k") == F.col("r._k")) & F.col("l._d").eqNullSafe(F.col("r._d"))
     )
-    rows = left.join(right, match).select("l.*", F.explode("r.positions").alias("_at")).drop("_h", "_d", "_k")
-    return rows.orderBy("_at", "doc_id").drop("_at")
+    rows = left.join(right, match).select("l._doc", F.explode("r.positions").alias("_at"))
+    return rows.orderBy("_at", F.col("_doc.doc_id")).select("_doc.*")

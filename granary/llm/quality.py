@@ -205,25 +205,20 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, he
     return fit_forest(x[order], y[order])
 
 
-def quality_scores(docs: DataFrame, forest: Forest, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for every whole text; with ``keep`` all columns and ``_score``.
+def quality_scores(docs: DataFrame, forest: Forest) -> DataFrame:
+    """doc_id, held_out, score, predicted for every whole text.
 
     Only the text decides: null and empty texts get the score of an all-zero
     row. A null doc_id counts as not held out. Repeated rows get equal scores.
+    Other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(forest))
-    out_cols = [*docs.columns, "_score"] if keep else ["doc_id", "score"]
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            x = np.array([text_statistics(t or "") for t in texts], float).reshape(-1, len(FEATURES))
-            score = pa.array(Forest(**shared.value).score(x), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out_cols[:-1]), score], names=out_cols)
-
-    if keep:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(run, f"{kinds}, _score double")
+            score = _scored(b.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double").select(
@@ -232,3 +227,22 @@ def quality_scores(docs: DataFrame, forest: Forest, keep: bool = False) -> DataF
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def good_documents(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns, whatever their names.
+
+    Scores are those of ``quality_scores``; a null text is scored as an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vars(forest))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_scored(b.column("text"), shared.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scored(texts: pa.Array, forest: dict) -> np.ndarray:
+    x = np.array([text_statistics(t or "") for t in texts.to_pylist()], float).reshape(-1, len(FEATURES))
+    return Forest(**forest).score(x)

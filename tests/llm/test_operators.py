@@ -292,3 +292,32 @@ def test_pipeline(spark):
         assert docs.columns == names and docs.count() > 0
     whole = corpus_pipeline.run(spark, SMALL)
     assert whole.count() == docs.count()
+
+
+#: names that the stages use themselves
+CLASHING = "_score score _h _d _k _at _doc _text _row l r position copies positions class_id root digest sketches n mark email value s".split()
+
+
+@pytest.mark.parametrize("rows", [EDGE_ROWS, []])
+def test_stages_keep_clashing_columns(spark, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, SCHEMA).drop("score")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHING})
+    told = {r.doc_id: r.asDict() for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert len(got) <= len(rows) * curriculum.MOST_COPIES
+        assert all(r[c] == told[r.doc_id][c] for r in got for c in CLASHING)
+    name, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, docs, SMALL).count() == len(rows)
+
+
+def test_good_documents_are_those_predicted(spark, tables):
+    forest = quality.train(tables.documents, tables.labels)
+    predicted = quality.quality_scores(tables.documents, forest).where("predicted = 1").select("doc_id")
+    kept = quality.good_documents(tables.documents, forest)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in predicted.collect())
+    assert kept.dtypes == tables.documents.dtypes
