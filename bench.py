@@ -46,6 +46,13 @@ HEADLINE = [
     "q13_tumbling_statistics",
     "r6_word_counts",
     "r9_indexed_counts",
+    "d6_nearest_neighbors",
+    "m14_linear_svm",
+    "m15_balanced_svm",
+    "m17_random_kernel_features",
+    "p8_fill_from_similar",
+    "q14_last_n_per_key",
+    "r10_text_classifier",
 ]
 
 

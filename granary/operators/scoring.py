@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import clip, col, sigmoid
@@ -124,31 +124,76 @@ def default_chain(*sources) -> Column:
     return F.coalesce(*[col(s) for s in sources], F.lit(0.0))
 
 
+def similar_by_common(asked: DataFrame, table: DataFrame, key: str, given: dict[str, float], n: int) -> DataFrame:
+    """(key, rank, neighbor): the n rows of ``table`` nearest to every row of ``asked``, ties by key.
+
+    Distance is the mean, over the features that both rows have, of weight x
+    |difference| / deviation. Rows are taken apart by which of the asked row's
+    features they share, so each part is a search of equally long vectors;
+    there are at most 3 ** features parts. Rows without a common feature are
+    no neighbours.
+    """
+    from granary.operators.neighbors import nearest
+
+    names = list(given)
+    dev = table.agg(*[F.stddev(c).alias(c) for c in names]).first()
+    bits = reduce(lambda a, b: a + b, [F.when(col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(names)])
+    kinds = lambda df: {r._bits for r in df.select(bits.alias("_bits")).distinct().collect()}
+    row_kinds = kinds(table)
+    found = []
+    for a in sorted(kinds(asked)):
+        for common in sorted({a & r for r in row_kinds} - {0}):
+            parts = [c for i, c in enumerate(names) if common >> i & 1]
+            vector = F.array(*[col(c).cast("double") * F.lit(given[c] / (dev[c] or 1.0) / len(parts)) for c in parts])
+            left = asked.where(bits == a).withColumn("_v", vector)
+            right = table.where(bits.bitwiseAND(F.lit(a)) == common).withColumn("_v", vector)
+            found.append(nearest(left, right, key, key, "_v", n, metric="l1").select(key, "neighbor", "distance"))
+    if not found:
+        return asked.select(key, F.lit(1).alias("rank"), col(key).cast("long").alias("neighbor")).limit(0)
+    best = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbor"))
+    every = reduce(DataFrame.unionByName, found).withColumn("rank", best)
+    return every.where(F.col("rank") <= n).select(key, "rank", "neighbor")
+
+
 def fill_from_similar(
     asked: DataFrame,
     table: DataFrame,
     key: str,
     given: dict[str, float],
-    missing: str,
+    fill: Sequence[str],
     n: int = 10,
+    extreme: float = 100_000.0,
 ) -> DataFrame:
-    """Fill a missing feature of many rows from their n nearest complete rows.
+    """Fill the columns ``fill`` of many rows from their n most similar rows.
 
-    ``given``: feature -> weight. Distances are weighted |difference| / deviation;
-    the median of the neighbours is limited to the 5 % - 95 % range of the table.
+    ``given``: feature -> weight, see ``similar_by_common``. A missing value
+    becomes the median of the similar rows' values; a value beyond ``extreme``
+    the median of those within three deviations of the column's median. Without
+    such values the column's median takes their place, and 0 if it has none.
+    Last, every value of these columns is limited to their 5 % - 95 % range.
     """
-    from granary.operators.neighbors import nearest
-
-    dev = table.agg(*[F.stddev(c).alias(c) for c in given]).first()
-    scale = {c: w / (dev[c] or 1.0) / len(given) for c, w in given.items()}
-    vector = F.array(*[col(c).cast("double") * F.lit(s) for c, s in scale.items()])
-    complete = table.where(col(missing).isNotNull()).dropna(subset=list(given)).withColumn("_v", vector)
-    near = nearest(
-        asked.where(col(missing).isNull()).withColumn("_v", vector), complete, key, key, "_v", n, payload=missing, metric="l1"
-    )
-    q = quantile_values(table, [missing], [0.05, 0.95])
+    wanted = reduce(lambda a, b: a | b, [col(c).isNull() | (F.abs(col(c)) > extreme) for c in fill])
+    near = similar_by_common(asked.where(wanted), table, key, given, n)
+    q = quantile_values(table, list(fill), [0.05, 0.5, 0.95])
+    dev = table.agg(*[F.stddev(c).alias(c) for c in fill]).first()
+    values = table.select(col(key).cast("long").alias("neighbor"), *[col(c).cast("double").alias(f"_{c}") for c in fill])
+    usual = {
+        c: F.abs(F.col(f"_{c}") - F.lit(q.get((c, 0.5)))) < F.lit(3.0 * dev[c]) if dev[c] else F.lit(True) for c in fill
+    }
     # at most n values per key
-    filled = near.groupBy(key).agg(F.median("payload").alias("_fill"))
-    limits = F.lit(q[missing, 0.05]), F.lit(q[missing, 0.95])
+    filled = near.join(values, "neighbor").groupBy(key).agg(
+        *[F.median(f"_{c}").alias(f"_fill_{c}") for c in fill],
+        *[F.median(F.when(usual[c], F.col(f"_{c}"))).alias(f"_usual_{c}") for c in fill],
+    )
     out = asked.join(filled, key, "left")
-    return out.withColumn(missing, F.coalesce(col(missing).cast("double"), clip("_fill", *limits))).drop("_fill")
+    for c in fill:
+        middle = F.lit(q.get((c, 0.5), 0.0))
+        value = (
+            F.when(col(c).isNull(), F.coalesce(f"_fill_{c}", middle))
+            .when(F.abs(col(c)) > extreme, F.coalesce(f"_usual_{c}", middle))
+            .otherwise(col(c).cast("double"))
+        )
+        if (c, 0.5) in q:
+            value = clip(value, F.lit(q[c, 0.05]), F.lit(q[c, 0.95]))
+        out = out.withColumn(c, value)
+    return out.drop(*[f"_{kind}_{c}" for c in fill for kind in ("fill", "usual")])

@@ -121,18 +121,35 @@ def _(t):
     return scoring.similar_rows(t.part, "p_partkey", 7, ["p_size", "p_retailprice", "not_there"], 5).select("p_partkey", "distance")
 
 
-@query(
-    "p8_fill_from_similar",
-    f"""WITH p AS (SELECT *, CAST(substr(p_brand, 7) AS DOUBLE) AS b FROM {PART_NULLS_SQL}), s AS (SELECT stddev(p_retailprice) AS sr, stddev(b) AS sb, quantile_cont(p_size, 0.05) AS lo, quantile_cont(p_size, 0.95) AS hi FROM p),
-        n AS (SELECT q.p_partkey AS k, r.p_size AS v FROM p q, p r, s WHERE q.p_size IS NULL AND r.p_size IS NOT NULL
-          QUALIFY row_number() OVER (PARTITION BY q.p_partkey ORDER BY round(abs(q.p_retailprice - r.p_retailprice) * 2 / sr / 2 + abs(q.b - r.b) / sb / 2, 9), r.p_partkey) <= 10),
-        f AS (SELECT k, median(v) AS v FROM n GROUP BY k)
-       SELECT p_partkey, round(coalesce(p_size, greatest(lo, least(hi, v))), 6) AS p_size FROM p LEFT JOIN f ON k = p_partkey, s""",
-)
-def _(t):
-    p = part_nulls(t).withColumn("b", F.substring("p_brand", 7, 9).cast("double"))
-    out = scoring.fill_from_similar(p, p, "p_partkey", {"p_retailprice": 2.0, "b": 1.0}, "p_size")
-    return out.select("p_partkey", F.round("p_size", 6).alias("p_size"))
+P8_SQL = f"""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS a,
+    CASE WHEN p_partkey % 6 <> 0 THEN CAST(substr(p_brand, 7) AS DOUBLE) END AS b, p_size::DOUBLE AS s,
+    CASE WHEN p_partkey % 4 <> 0 THEN length(p_name)::DOUBLE END AS l FROM {PART_NULLS_SQL}),
+  q AS (SELECT k, a, b, CASE WHEN k % 13 = 0 THEN 200000::DOUBLE ELSE s END AS s, l FROM p),
+  t AS (SELECT stddev(a) AS da, stddev(b) AS db, stddev(s) AS ds, median(s) AS sm, quantile_cont(s, 0.05) AS s5, quantile_cont(s, 0.95) AS s95,
+    median(l) AS lm, quantile_cont(l, 0.05) AS l5, quantile_cont(l, 0.95) AS l95 FROM p),
+  d AS (SELECT q.k, r.k AS rk, r.s, r.l, round((coalesce(abs(q.a - r.a) * 2 / da, 0) + coalesce(abs(q.b - r.b) / db, 0))
+      / ((q.a IS NOT NULL AND r.a IS NOT NULL)::INT + (q.b IS NOT NULL AND r.b IS NOT NULL)::INT), 9) AS d
+    FROM q, p r, t WHERE (q.a IS NOT NULL AND r.a IS NOT NULL) OR (q.b IS NOT NULL AND r.b IS NOT NULL)),
+  n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, rk) <= 10),
+  f AS (SELECT k, median(s) AS s, median(s) FILTER (abs(s - sm) < 3 * ds) AS s3, median(l) AS l FROM n, t GROUP BY k)
+  SELECT q.k AS p_partkey, round(greatest(s5, least(s95, CASE WHEN q.s IS NULL THEN coalesce(f.s, sm) WHEN abs(q.s) > 100000 THEN coalesce(s3, sm) ELSE q.s END)), 6) AS p_size,
+    round(greatest(l5, least(l95, coalesce(q.l, f.l, lm))), 6) AS name_length
+  FROM q LEFT JOIN f ON f.k = q.k, t"""
+
+
+@query("p8_fill_from_similar", P8_SQL)
+def _(t):
+    key = F.col("p_partkey")
+    p = part_nulls(t).select(
+        "p_partkey",
+        F.when(key % 7 != 0, F.col("p_retailprice")).alias("price"),
+        F.when(key % 6 != 0, F.substring("p_brand", 7, 9).cast("double")).alias("brand"),
+        F.col("p_size").cast("double").alias("p_size"),
+        F.when(key % 4 != 0, F.length("p_name").cast("double")).alias("name_length"),
+    )
+    asked = p.withColumn("p_size", F.when(key % 13 == 0, 200000.0).otherwise(F.col("p_size")))
+    out = scoring.fill_from_similar(asked, p, "p_partkey", {"price": 2.0, "brand": 1.0}, ["p_size", "name_length"])
+    return out.select("p_partkey", F.round("p_size", 6).alias("p_size"), F.round("name_length", 6).alias("name_length"))
 
 
 @query("p9_default_features", f"SELECT 'p_size' AS feature, median(p_size) AS median FROM {PART_NULLS_SQL} UNION ALL SELECT 'p_retailprice', round(median(p_retailprice), 9) FROM {PART_NULLS_SQL} UNION ALL SELECT 'empty', 0.0::DOUBLE")

@@ -1,7 +1,9 @@
 """Structured Streaming jobs over an event feed.
 
 Every job runs until the input is used up (``availableNow``), keeps its progress
-under the shared folder and writes parquet that is read back as the result.
+and state under one root folder and writes parquet that is read back as the
+result. A job called again with the same ``root`` goes on where it ended or was
+broken off; without one it gets a fresh root under the shared folder.
 """
 
 from __future__ import annotations
@@ -40,14 +42,15 @@ def spread_feed(df: DataFrame, order: str, files: int) -> str:
     return path
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
     """Run a stream into a parquet table and read it."""
     spark = stream.sparkSession
-    out = fresh_path(spark, "stream")
+    root = root or fresh_path(spark, "stream")
+    out = f"{root}/table"
     q = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
-        .option("checkpointLocation", fresh_path(spark, "progress"))
+        .option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True)
         .start(out)
     )
@@ -55,11 +58,10 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None]) -> None:
-    spark = stream.sparkSession
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], root: str) -> None:
     q = (
         stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", fresh_path(spark, "progress"))
+        .option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True)
         .start()
     )
@@ -84,34 +86,43 @@ def windowed_statistics(
 
 
 def _version(root: str, batch: int) -> str:
-    return f"{root}/v{batch:012d}"
+    return f"{root}/state/v{batch + 1:012d}"
+
+
+def _empty_version(spark: SparkSession, path: str, schema) -> None:
+    """The version before the first batch, so that a feed without rows has a result too."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
-def latest_per_key(stream: DataFrame, key: str, order: Sequence[str], n: int, cols: Sequence[str]) -> DataFrame:
+def latest_per_key(
+    stream: DataFrame, key: str, order: Sequence[str], n: int, cols: Sequence[str], root: str | None = None
+) -> DataFrame:
     """The last n rows of every key over the whole feed.
 
     Each batch is cut to n rows per key before it meets the kept rows (Spark
-    limits each task's groups first, so a busy key stays small). State is a
-    versioned table: repeating a batch rewrites the same version.
+    limits each task's groups first, so a busy key stays small). State is kept
+    in two slots that take turns: a batch reads the slot of the batch before and
+    rewrites the other, so a repeated batch gives the same, and old state goes.
     """
     spark = stream.sparkSession
-    root = fresh_path(spark, "last-n")
+    root = root or fresh_path(spark, "last-n")
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    seen: list[int] = []
+    schema = stream.select(*cols, F.lit(0).cast("long").alias("_batch")).schema
+    slot = lambda batch: f"{root}/state/slot{batch % 2}"
+    _empty_version(spark, slot(-1), schema)
 
     def cut(df: DataFrame) -> DataFrame:
         return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        recent = cut(batch.select(*cols))
-        if batch_id > 0:
-            kept = spark.read.schema(recent.schema).parquet(_version(root, batch_id - 1))
-            recent = cut(recent.unionByName(kept))
-        recent.write.mode("overwrite").parquet(_version(root, batch_id))
-        seen.append(batch_id)
+        kept = spark.read.schema(schema).parquet(slot(batch_id - 1)).drop("_batch")
+        recent = cut(cut(batch.select(*cols)).unionByName(kept))
+        recent.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(slot(batch_id))
 
-    run_batches(stream, handle)
-    return spark.read.parquet(_version(root, max(seen)))
+    run_batches(stream, handle, root)
+    slots = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/state")
+    latest = slots.agg(F.max("_batch")).first()[0]
+    return slots.where(F.col("_batch") == F.lit(latest)).drop("_batch")
 
 
 def online_ridge(
@@ -123,6 +134,7 @@ def online_ridge(
     alpha: float = 0.01,
     steps: int = 16,
     warn_below: float = 0.0,
+    root: str | None = None,
 ) -> DataFrame:
     """Ridge weights updated by every micro-batch; each batch is scored before it is learned.
 
@@ -131,15 +143,14 @@ def online_ridge(
     table, so a repeated batch starts from the same weights.
     """
     spark = stream.sparkSession
-    root = fresh_path(spark, "online")
+    root = root or fresh_path(spark, "online")
     p = len(features)
     schema = "batch long, n long, updates long, rmse double, r2 double, warning boolean, weights array<double>"
+    _empty_version(spark, _version(root, -1), schema)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        w, t = np.zeros(p + 1), 0
-        if batch_id > 0:
-            prev = spark.read.schema(schema).parquet(_version(root, batch_id - 1)).first()
-            w, t = np.array(prev.weights), prev.updates
+        prev = spark.read.schema(schema).parquet(_version(root, batch_id - 1)).first()
+        w, t = (np.array(prev.weights), prev.updates) if prev else (np.zeros(p + 1), 0)
         part = F.pmod(F.xxhash64(*batch.columns), F.lit(steps))
         cells = moments(batch, features, target, part)
         if not cells:
@@ -162,23 +173,24 @@ def online_ridge(
             row = (batch_id, int(n), t, float(np.sqrt(sse / n)), float(r2), bool(r2 < warn_below), [float(x) for x in w])
         spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(_version(root, batch_id))
 
-    run_batches(stream, handle)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
+    run_batches(stream, handle, root)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/state")
 
 
-def stream_psi(stream: DataFrame, reference: DataFrame, cols: Sequence[str]) -> DataFrame:
+def stream_psi(stream: DataFrame, reference: DataFrame, cols: Sequence[str], root: str | None = None) -> DataFrame:
     """PSI of every micro-batch against a fixed reference."""
     spark = stream.sparkSession
-    root = fresh_path(spark, "psi")
+    root = root or fresh_path(spark, "psi")
+    schema = "feature string, n long, psi double, batch int"
+    _empty_version(spark, _version(root, -1), schema)
     bins = sized(reference_bins(reference, cols), "bins")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = psi_from_bins(bins, batch, cols).withColumn("batch", F.lit(batch_id))
         rows.write.mode("overwrite").parquet(_version(root, batch_id))
 
-    run_batches(stream, handle)
-    schema = "feature string, n long, psi double, batch int"
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
+    run_batches(stream, handle, root)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/state")
 
 
 def join_outcomes(
