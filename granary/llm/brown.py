@@ -2,7 +2,8 @@
 
 P(word | before) = P(class | class before) * P(word | class). Frequent words
 are clustered by the exchange algorithm on their bigram counts; every other
-word then joins the class that fits the classes around its occurrences best.
+word then joins the class that fits the classes around its occurrences best:
+first by its neighbours in the core, then by all that have a class by now.
 Counts come from the whole training part of the corpus.
 
 Texts are coded once into blocks, each with its own short dictionary, so that
@@ -17,12 +18,13 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import crc_mod, materialize, text_or_empty
 
-CORE = 1000  # most frequent words, clustered among themselves
+CORE = 2000  # most frequent words, clustered among themselves
 CLASSES = 48  # classes of words, at most 100; one more is that of the end of a text
 SWEEPS = 4
 BLOCK_TOKENS = 3_000_000
@@ -101,6 +103,29 @@ def core_bigrams(train: DataFrame, core: dict[bytes, int]) -> DataFrame:
     )
 
 
+def collected_bigrams(train: DataFrame, core: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, n of ``core_bigrams``, sorted by x and y.
+
+    At most the square of the core; they come a partition at a time, as packed
+    bytes, so that the driver holds 16 bytes a pair and no row objects.
+    """
+
+    def run(batches):
+        for b in batches:
+            x, y, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            row = [x.astype(np.int32), y.astype(np.int32), n.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in row], names=["x", "y", "n"])
+
+    pairs = materialize(core_bigrams(train, core), "bigrams")
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]]
+    for r in pairs.mapInArrow(run, "x binary, y binary, n binary").toLocalIterator():
+        for held, raw in zip(parts, r):
+            held.append(np.frombuffer(raw, held[0].dtype))
+    x, y, n = (np.concatenate(p) for p in parts)
+    order = np.lexsort((y, x))
+    return x[order], y[order], n[order]
+
+
 def exchange_classes(x: np.ndarray, y: np.ndarray, n: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each of the ``words`` and, last, of the end, by the exchange algorithm.
 
@@ -158,12 +183,43 @@ def _groups(keys: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.cumsum(np.bincount(keys, minlength=n))[:-1])
 
 
+NONE = 255  # stands for the class of a word that has none yet
+
+
+def _contexts(codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, core: np.ndarray, own: np.ndarray):
+    """Training occurrences and contexts of a block's own words: counts, offsets and sorted context bytes.
+
+    ``core``: classes of the core and of the end; ``own``: classes of the own
+    words, or NONE. The end stands on both sides of a text.
+    """
+    end, k = len(core) - 1, int(core.max()) + 1
+    train = np.repeat(~held, lengths)
+    ends = np.cumsum(lengths)
+    at_class = np.concatenate([core[:end], own]).astype(np.uint8)[codes]
+    last = np.full(1, core[end], np.uint8)
+    before = np.concatenate([last, at_class[:-1]]) if len(codes) else at_class
+    after = np.concatenate([at_class[1:], last]) if len(codes) else at_class
+    full = lengths > 0
+    before[(ends - lengths)[full]] = last
+    after[ends[full] - 1] = last
+    rare = (codes >= end) & train
+    local = codes[rare].astype(np.int64) - end
+    n = np.bincount(local, minlength=len(own)).astype(np.int32)
+    before, after = before[rare], after[rare]
+    # sorted contexts of a word take less room on disk
+    keys = np.concatenate([local[before < k] << 8 | before[before < k], local[after < k] << 8 | (after[after < k] + k)])
+    keys.sort()
+    offsets = np.concatenate([[0], np.bincount(keys >> 8, minlength=len(own)).cumsum()]).astype(np.int32)
+    return n, offsets, (keys & 255).astype(np.uint8)
+
+
 def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray) -> DataFrame:
     """Blocks of texts: codes of their tokens and, for each word outside the core, its training contexts.
 
     Codes below the core's size are core words, those above number the block's
     own words. A context is one byte of side and class, so words have strings
-    of contexts; a neighbour outside the core counts for no class.
+    of contexts; here only neighbours in the core count, ``second_contexts``
+    adds the others.
     """
     shared = marked.sparkSession.sparkContext.broadcast((core, classes))
     kind = marked.schema["doc_id"].dataType.simpleString()
@@ -174,8 +230,7 @@ def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray)
 
     def run(batches):
         ids, cls = shared.value
-        end, none = len(ids), 255
-        k = int(cls.max()) + 1
+        end = len(ids)
         own: dict[bytes, int] = {}
         docs: list = []
         held: list[bool] = []
@@ -185,25 +240,7 @@ def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray)
         def out(id_type):
             codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             lengths = np.array([len(p) for p in parts], np.int32)
-            train = np.repeat(~np.array(held, bool), lengths)
-            ends = np.cumsum(lengths)
-            # class of each token's neighbours; the end stands on both sides of a text
-            c = np.append(np.append(cls[:end], np.full(len(own), none)), cls[end]).astype(np.uint8)
-            at_class = c[codes]
-            before = np.concatenate([c[-1:], at_class[:-1]]) if len(codes) else at_class
-            after = np.concatenate([at_class[1:], c[-1:]]) if len(codes) else at_class
-            full = lengths > 0
-            before[(ends - lengths)[full]] = c[-1]
-            after[ends[full] - 1] = c[-1]
-            rare = (codes >= end) & train
-            local = codes[rare] - end
-            n = np.bincount(local, minlength=len(own))
-            sides = np.concatenate([before[rare], after[rare] + np.uint8(k)])
-            keep = np.concatenate([before[rare] < k, after[rare] < k])
-            local = np.concatenate([local, local])[keep]
-            order = np.argsort(local, kind="stable")
-            offsets = np.concatenate([[0], np.bincount(local, minlength=len(own)).cumsum()]).astype(np.int32)
-            packed = np.ascontiguousarray(sides[keep][order])
+            n, offsets, packed = _contexts(codes, lengths, np.array(held, bool), cls, np.full(len(own), NONE))
             row = {
                 "block": pa.array([uuid.uuid4().int >> 65], pa.int64()),
                 "doc_id": pa.array([docs], pa.list_(id_type)),
@@ -211,12 +248,8 @@ def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray)
                 "size": _one(pa.array(lengths)),
                 "codes": _one(pa.array(codes.astype(np.int32))),
                 "word": _one(pa.array(list(own), pa.binary())),
-                "n": _one(pa.array(n.astype(np.int32))),
-                "context": _one(
-                    pa.Array.from_buffers(
-                        pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())]
-                    )
-                ),
+                "n": _one(pa.array(n)),
+                "context": _one(_strings(offsets, packed)),
             }
             own.clear(), docs.clear(), held.clear(), parts.clear()
             return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
@@ -252,12 +285,19 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def placed_words(blocks: DataFrame, fit: np.ndarray) -> DataFrame:
-    """(block, i, c, cls): count and class of every block's own words.
+def _strings(offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(
+        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]
+    )
+
+
+def placed_words(blocks: DataFrame, fit: np.ndarray, usual: int = NONE) -> DataFrame:
+    """(block, i, c, cls, id): count and class of every block's own words, and a number of the word.
 
     Rows arrive sorted by word; only one word's counts and the places of its
     blocks are held at a time. ``fit``: log probability of each (side and
-    class) context for each class.
+    class) context for each class. A word without any context has the class
+    ``usual``.
     """
     rows = blocks.select("block", F.posexplode(F.arrays_zip("word", "n", "context")).alias("i", "w"))
     rows = rows.select(F.col("w.word").alias("word"), "block", "i", F.col("w.n").alias("n"), F.col("w.context").alias("context"))
@@ -266,11 +306,12 @@ def placed_words(blocks: DataFrame, fit: np.ndarray) -> DataFrame:
 
     def run(batches):
         table = shared.value  # (contexts, classes)
-        last, held = None, []
+        first = TaskContext.get().partitionId() << 40  # number of the next word
+        held = []
 
         def settle(b: pa.RecordBatch, open_end: bool):
             """Finished words of a batch; the last one stays when more of it may follow."""
-            nonlocal held
+            nonlocal held, first
             word = b.column(0)
             size = len(word)
             new = np.ones(size, bool)
@@ -295,8 +336,12 @@ def placed_words(blocks: DataFrame, fit: np.ndarray) -> DataFrame:
                 z = slice(a, a + 200_000)
                 np.add.at(score, owner[z], table[flat[z]])
             cls = score.argmax(1).astype(np.int32)
+            cls[np.bincount(owner, minlength=len(starts)) == 0] = usual
+            ids = pa.array(first + which)
+            first += len(starts)
             return pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(2), pa.array(count[which]), pa.array(cls[which])], names=["block", "i", "c", "cls"]
+                [b.column(1), b.column(2), pa.array(count[which]), pa.array(cls[which]), ids],
+                names=["block", "i", "c", "cls", "id"],
             )
 
         for b in batches:
@@ -309,7 +354,37 @@ def placed_words(blocks: DataFrame, fit: np.ndarray) -> DataFrame:
         if held:
             yield settle(held[0], False)
 
-    return parts.mapInArrow(run, "block bigint, i int, c bigint, cls int")
+    return parts.mapInArrow(run, "block bigint, i int, c bigint, cls int, id bigint")
+
+
+def _with_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """The blocks' texts and what was found of their own words; both joins with blocks share one exchange of them."""
+    packed = words.groupBy("block").agg(F.collect_list(F.struct("i", "c", "cls", "id")).alias("found"))
+    rows = blocks.select("block", "doc_id", "held_out", "size", "codes", F.size("word").alias("own"))
+    return rows.join(packed, "block", "left").select(*rows.columns, *[F.col(f"found.{c}").alias(c) for c in ("i", "c", "cls", "id")])
+
+
+def second_contexts(blocks: DataFrame, words: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(block, word bigint, n, context) as of ``coded_blocks``, with the classes of neighbours outside the core."""
+    shared = blocks.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches):
+        core = shared.value
+        for b in batches:
+            for r in range(b.num_rows):
+                get = lambda name: b.column(name)[r].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                own = b.column("own")[r].as_py()
+                cls, ids = np.full(own, NONE, np.int64), np.zeros(own, np.int64)
+                if b.column("i")[r].is_valid:
+                    i = get("i")
+                    cls[i], ids[i] = get("cls"), get("id")
+                n, offsets, packed = _contexts(get("codes"), get("size"), get("held_out").astype(bool), core, cls)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("block").slice(r, 1), _one(pa.array(ids)), _one(pa.array(n)), _one(_strings(offsets, packed))],
+                    names=["block", "word", "n", "context"],
+                )
+
+    return _with_words(blocks, words).mapInArrow(run, "block bigint, word array<bigint>, n array<int>, context array<binary>")
 
 
 def classed_texts(blocks: DataFrame, words: DataFrame, core_counts: np.ndarray, classes: np.ndarray, total: int, distinct: int) -> DataFrame:
@@ -318,11 +393,7 @@ def classed_texts(blocks: DataFrame, words: DataFrame, core_counts: np.ndarray,
     A word that training did not see has the class after the last.
     """
     kind = blocks.schema["doc_id"].dataType.elementType.simpleString()
-    packed = words.groupBy("block").agg(F.collect_list(F.struct("i", "c", "cls")).alias("found"))
-    rows = blocks.select("block", "doc_id", "held_out", "size", "codes", F.size("word").alias("own")).join(packed, "block", "left")
-    rows = rows.select(
-        "doc_id", "held_out", "size", "codes", "own", F.col("found.i").alias("i"), F.col("found.c").alias("c"), F.col("found.cls").alias("cls")
-    )
+    rows = _with_words(blocks, words)
     k = int(classes.max()) + 1
     end_count = float(core_counts[-1])
     whole = np.log10(total + 0.5 * (distinct + 1))
@@ -435,10 +506,8 @@ def class_scores(docs: DataFrame, core_words: int = CORE, classes: int = CLASSES
     core = {bytes(w): i for i, w in enumerate(top.word)}
     core_counts = np.append(top.c.to_numpy(np.int64), ends)
     used = max(1, min(classes, len(core)))
-    pairs = core_bigrams(train, core).toPandas()  # bounded by the square of the core
-    x, y, n = (pairs[c].to_numpy(np.int64) for c in ("x", "y", "n"))
-    order = np.lexsort((y, x))
-    cls = exchange_classes(x[order], y[order], n[order].astype(float), len(core), used, sweeps)
+    x, y, n = collected_bigrams(train, core)
+    cls = exchange_classes(x, y, n.astype(float), len(core), used, sweeps)
 
     k = used + 1
     between = np.zeros((k, k))
@@ -447,7 +516,9 @@ def class_scores(docs: DataFrame, core_words: int = CORE, classes: int = CLASSES
     fit = np.vstack([_log_shares(between[:, :used]), _log_shares(between.T[:, :used])])
 
     blocks = materialize(coded_blocks(marked, core, cls), "blocks")
-    words = placed_words(blocks, fit)
+    # what even then has no neighbour with a class joins the most frequent one
+    usual = int(between[:, :used].sum(0).argmax())
+    words = placed_words(second_contexts(blocks, placed_words(blocks, fit), cls), fit, usual)
     texts = materialize(classed_texts(blocks, words, core_counts, cls, total, distinct), "texts")
     table = transition_table(class_bigrams(texts, k), int(facts.one) / max(total, 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
