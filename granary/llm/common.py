@@ -111,33 +111,45 @@ def span_digest(listed: Column) -> Column:
     )
 
 
-def connected_classes(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_classes(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected links (a, b); root is the least node of its component.
 
-    Each round takes the least root among a node's neighbours and then the
-    root's own root; the labels are a written table between rounds. The number
-    of nodes whose root changed is all that reaches the driver.
+    Each round hooks every node to its least neighbour, if that is smaller, and
+    follows the hooks to their roots; roots take the place of their nodes, in
+    the links too, until no link is left. A root that took in no node is hooked
+    in the next round, so two rounds at least halve what is left, whatever the
+    shape of a component. Labels are written tables; only whether something is
+    left reaches the driver.
     """
-    both = materialize(
+    edges = materialize(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
     )
-    labels = materialize(
-        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")),
-        "roots",
-    )
-    for _ in range(rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "root"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("root").alias("r"))
-        )
-        merged = labels.join(near, "node", "left").select(
-            "node", F.col("root").alias("was"), F.least("root", "r").alias("root")
-        )
-        hop = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        moved = merged.join(hop, "root", "left").select("node", "was", F.least("root", "further").alias("root"))
-        moved = materialize(moved, "roots")
-        labels = moved.select("node", "root")
-        if moved.where("root <> was").isEmpty():
+    labels = None
+    while True:
+        hooks = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        roots = _followed(materialize(hooks, "roots"))
+        if labels is None:
+            labels = roots
+        else:
+            further = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            labels = labels.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+            labels = materialize(labels, "roots")
+        for end in ("a", "b"):
+            other = "b" if end == "a" else "a"
+            named = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+            edges = edges.join(named, end).select(other, F.col("_root").alias(end))
+        edges = materialize(edges.where("a <> b").distinct(), "links")
+        if edges.isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """(node, root) with every root followed to its end; each step doubles what has been followed."""
+    while True:
+        hop = hooks.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        hooks = materialize(
+            hooks.join(hop, "root").select("node", F.col("root").alias("was"), F.col("further").alias("root")), "roots"
+        )
+        if hooks.where("root <> was").isEmpty():
+            return hooks.select("node", "root")
+        hooks = hooks.select("node", "root")

@@ -1,9 +1,12 @@
 """What the operators once left out: words, chains, long tokens and texts beyond their former bounds."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from granary.llm import brown
+from granary.llm.common import connected_classes
 
 
 def test_words_without_core_neighbours_get_classes(spark):
@@ -30,3 +33,17 @@ def test_core_is_collected_whole(spark):
     x, y, n = brown.collected_bigrams(docs, {b"x": 0, b"y": 1})
     assert list(zip(x.tolist(), y.tolist(), n.tolist())) == [(0, 1, 1), (1, 0, 1), (1, 2, 1), (2, 0, 1), (2, 1, 1), (2, 2, 1)]
     assert brown.CORE >= 2000
+
+
+def test_long_chains_are_one_class(spark):
+    n, draw = 4000, random.Random(1)
+    names = list(range(n))
+    draw.shuffle(names)
+    links = [(names[i], names[i + 1]) for i in range(n - 1) if i != 2500]
+    links += [(n + i + 1, n + i) for i in range(2999)]  # in order
+    links += [(8000, 8000), (9000 + 1, 9000), (9000 + 1, 9002)]
+    draw.shuffle(links)
+    want = {names[i]: min(names[:2501]) if i <= 2500 else min(names[2501:]) for i in range(n)}
+    want |= {n + i: n for i in range(3000)} | {8000: 8000, 9000: 9000, 9001: 9000, 9002: 9000}
+    rows = connected_classes(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(rows) == len(want) and {r.node: r.root for r in rows} == want
