@@ -1,7 +1,8 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
-A spot signature is a chain of content words that follows a common word (its
-anchor). The set of signatures of a text is its fingerprint. Fingerprints are
+A spot signature is a chain of content words that follows an anchor: a common
+word, or any word whose own hash falls in a fixed share, so that texts poor in
+common words have spots too and an edit changes only the spots near it. The set of signatures of a text is its fingerprint. Fingerprints are
 compared by Jaccard similarity; a search partitions them by set length, so
 that only lengths that can be similar enough meet, and prunes pairs before it
 intersects their sets.
@@ -24,6 +25,7 @@ ANCHORS = (
     "der die und das den von zu mit ist ein eine dem im nicht auf für als auch es "
     "el los las y del se por con para su al lo como más pero"
 ).split()
+SHARE = 8  # one word in so many is an anchor by its hash
 CHAIN = 2  # content words in a chain
 REACH = 12  # words after an anchor in which its chain must lie
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*%&#$@+=/\\_~`^-"
@@ -36,14 +38,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _anchor(w: Column) -> Column:
+def _common(w: Column) -> Column:
     return w.isin(*ANCHORS)
 
 
+def _anchor(w: Column) -> Column:
+    return _common(w) | (F.pmod(F.xxhash64(w), F.lit(SHARE)) == 0)
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct 32-bit signatures of a text.
 
-    A text without any anchor is cut into chains at every word; a text without
+    A text without any spot is cut into chains at every word; a text without
     words has none.
     """
 
@@ -54,7 +60,7 @@ def signatures(text: Column) -> Column:
             lambda x: F.struct(
                 x["w"].alias("w"),
                 F.slice(
-                    F.filter(F.slice(ws, x["i"] + 2, F.lit(REACH)), lambda w: ~_anchor(w)), F.lit(1), F.lit(CHAIN)
+                    F.filter(F.slice(ws, x["i"] + 2, F.lit(REACH)), lambda w: ~_common(w)), F.lit(1), F.lit(CHAIN)
                 ).alias("c"),
             ),
         )

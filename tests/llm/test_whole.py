@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm import brown
+from granary.llm import brown, spotsigs
 from granary.llm.common import connected_classes
 
 
@@ -47,3 +47,19 @@ def test_long_chains_are_one_class(spark):
     want |= {n + i: n for i in range(3000)} | {8000: 8000, 9000: 9000, 9001: 9000, 9002: 9000}
     rows = connected_classes(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(rows) == len(want) and {r.node: r.root for r in rows} == want
+
+
+def test_spots_are_even_and_local(spark):
+    draw = random.Random(7)
+    plain = [f"w{draw.randrange(10**6)}" for _ in range(240)]  # no listed anchor
+    tail = [f"v{draw.randrange(10**6)}" for _ in range(79)]
+    edited = [*plain[:160], "the", *tail]
+    few = [*plain[:100], "of", *plain[100:]]
+    df = spark.createDataFrame([(" ".join(w),) for w in (plain, edited, few)], "text string")
+    a, b, c = (set(r.s) for r in df.select(spotsigs.signatures(F.col("text")).alias("s")).collect())
+    assert min(map(len, (a, b, c))) >= 15
+    assert len(a & b) / len(a | b) > 0.3
+    assert len(a & c) / len(a | c) > 0.8
+    # only a text without any spot is cut at every word
+    none = spark.createDataFrame([("the of the",), ("",)], "text string").select(spotsigs.signatures(F.col("text")).alias("s"))
+    assert [len(r.s) for r in none.collect()] == [3, 0]
