@@ -26,16 +26,12 @@ IDENTIFIER = (
     r"(?i:\b(?:user(?:name)?|login|account|client_?id|access_?id|key_?id|tenant)\b)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?"
     r"([A-Za-z0-9][A-Za-z0-9_.@-]{3,63})"
 )
-SECRET = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])(?=[^A-Z]{0,63}[A-Z])(?=[^a-z]{0,63}[a-z])"
-    r"[A-Za-z0-9+/_=-]{16,64}(?![A-Za-z0-9+/_=-])"
-)
+SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"  # of any length, with a digit, a capital and a small letter
 ENDPOINT = (
     r"(?i:\b(?:https?|ftp|ssh|jdbc|postgres|mysql|mongodb|redis|amqp|s3)://)[^\x00-\x20\"'<>]{3,200}"
     r"|(?i:\b(?:host|server|endpoint|url)\b)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9.-]{4,100}"
 )
 SCOPE = 240  # code points that parts of one credential may lie apart
-LONGEST_WEAK = 264  # no weak part is longer
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("identifier", "secret", "endpoint")
 ORDER = {k: i for i, k in enumerate(BASE_KINDS + WEAK_KINDS)}
@@ -55,6 +51,10 @@ def _spans(kind: str, text: Column, pattern: str, when: Column, keep=None, group
     return F.coalesce(out, F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>"))
 
 
+def _mixed(s: Column) -> Column:
+    return s["found"].rlike("[0-9]") & s["found"].rlike("[A-Z]") & s["found"].rlike("[a-z]")
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Leftmost, non-overlapping matches of each base kind; matches that fail are dropped, not tried again."""
     return {
@@ -76,10 +76,11 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Columns: doc_id, assign, access, hex, weak (arrays of span structs). The
     text is scanned once; spans go to a written table, whose rows are numbered
-    (repeated doc_ids stay apart). The interval join goes by (row, position
-    bucket of one scope): a weak span stands in the bucket of its start, a part
-    in every bucket that it can reach. A bucket holds no more spans than it has
-    room for.
+    (repeated doc_ids stay apart). The interval join goes by (row, side,
+    position bucket of one scope) from both ends of a weak span: parts after it
+    begin in the bucket of its end or the next, parts before it end in the
+    bucket of its start or the one before. Spans may have any length, and a
+    bucket holds no more spans than it has room for.
 
     A null text is an empty one, a null doc_id stays null, other columns are
     ignored, and an empty table gives no rows.
@@ -88,7 +89,7 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     base = base_spans(text)
     weak = F.concat(
         _spans("identifier", text, IDENTIFIER, text.rlike(r"(?i)user|login|account|client|access|key|tenant")),
-        _spans("secret", text, SECRET, text.rlike(r"[A-Za-z0-9+/_=-]{16}")),
+        _spans("secret", text, SECRET, text.rlike(r"[A-Za-z0-9+/_=-]{16}"), _mixed),
         _spans("endpoint", text, ENDPOINT, text.rlike(r"://|(?i)host|server|endpoint|url")),
     )
     scanned = materialize(
@@ -106,9 +107,15 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     # what completes a part: values complete identifiers and endpoints, and the other way round
     holds = F.when(F.col("s.kind").isin("assign", "hex", "secret"), "value").otherwise("name")
     parts = materialize(parts.withColumn("_holds", holds), "parts")
-    weak_part = parts.where(F.col("s.kind").isin(*WEAK_KINDS)).withColumn("_b", F.floor(F.col("s.start") / scope))
-    reach = F.sequence(
-        F.floor((F.col("s.start") - scope - LONGEST_WEAK) / scope), F.floor((F.col("s.end") + scope) / scope)
+    bucket = lambda c: F.floor(F.col(c) / scope)
+    place = lambda after, b: F.struct(F.lit(after).alias("after"), b.alias("b"))
+    ends = F.array(place(True, bucket("s.end")), place(False, bucket("s.start")))
+    weak_part = parts.where(F.col("s.kind").isin(*WEAK_KINDS)).select("_row", "s", "_holds", F.explode(ends).alias("_b"))
+    reach = F.array(
+        place(True, bucket("s.start")),
+        place(True, bucket("s.start") - 1),
+        place(False, bucket("s.end")),
+        place(False, bucket("s.end") + 1),
     )
     near = parts.select("_row", F.col("s").alias("o"), F.col("_holds").alias("_other"), F.explode(reach).alias("_b"))
     gap = F.greatest(F.col("s.start"), F.col("o.start")) - F.least(F.col("s.end"), F.col("o.end"))

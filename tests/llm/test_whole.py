@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm import brown, spotsigs
+from granary.llm import brown, credentials, spotsigs
 from granary.llm.common import connected_classes
 
 
@@ -63,3 +63,22 @@ def test_spots_are_even_and_local(spark):
     # only a text without any spot is cut at every word
     none = spark.createDataFrame([("the of the",), ("",)], "text string").select(spotsigs.signatures(F.col("text")).alias("s"))
     assert [len(r.s) for r in none.collect()] == [3, 0]
+
+
+def test_secrets_of_any_length_are_linked(spark):
+    draw = random.Random(3)
+    rows, want = [], []
+    for i, length in enumerate((16, 64, 65, 88, 300, 5000)):
+        run = "".join(draw.choice("ghkZQWx") for _ in range(length - 1)) + "7"  # the digit comes last
+        front = "é user: anna.berg" + " ." * draw.randrange(100)
+        whole = f"{front} {run} " + ". " * 100 + "host=db.internal.example " + ". " * 200 + "login: far.away"
+        at, host = len(front) + 1, whole.index("host=")
+        rows.append((i, whole))
+        want.append([("identifier", 2, 17), ("secret", at, at + length), ("endpoint", host, host + 24)])
+    # runs without a digit, a capital or a small letter are no secrets
+    rows += [(10 + i, f"user: anna.berg {w * 40}") for i, w in enumerate(("kB", "k7", "B7"))]
+    got = {
+        r.doc_id: [(w.kind, w.start, w.end) for w in sorted(r.weak, key=lambda w: w.start)]
+        for r in credentials.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    assert [got[i] for i in range(6)] == want and got[10] == got[11] == got[12] == []
