@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import materialize
+from granary.session import materialize, sized
 
-__all__ = ["WORD", "connected_classes", "crc_mod", "located", "materialize", "span_digest", "text_or_empty", "word_count"]
+__all__ = ["WORD", "connected_classes", "crc_mod", "located", "materialize", "sized", "span_digest", "text_or_empty", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _CHUNK = 256
