@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import materialize, sized, text_or_empty
@@ -111,31 +112,33 @@ def subtrees(words: DataFrame, most: int = SUBTREE) -> tuple[DataFrame, DataFram
     """
     root = F.array().cast("array<int>").alias("node")
     inside = words.select("word", "n", "counts", root)
-    search = words.select("word", "n", "counts", root, F.lit(1).alias("plus"), F.lit(1).alias("minus"))
-    homes, visits = [], []
+    search = words.select("word", "n", "counts", root, F.lit(1).alias("plus"), F.lit(1).alias("minus"), F.lit(False).alias("there"))
+    homes = []
     for level in range(GROUPS + 1):
         last = level == GROUPS
-        nodes = sized(inside.groupBy("node").agg(F.count("*").alias("_n")).withColumn("_open", (F.col("_n") > most) & F.lit(not last)), "nodes")
-        placed, led = inside.join(nodes, "node"), search.join(nodes, "node")
+        nodes = inside.groupBy("node").agg(F.count("*").alias("_n"))
+        nodes = sized(nodes.select("node", ((F.col("_n") > most) & F.lit(not last)).alias("_open")), "nodes")
+        # a search that has arrived goes on through the lower levels, whose nodes have longer names
+        led = search.join(nodes, "node", "left").where("there or _open is not null")
+        search = led.withColumn("there", F.col("there") | ~F.col("_open")).drop("_open")
+        placed = inside.join(nodes, "node")
         homes.append(placed.where("not _open").select("word", "n", "node"))
-        visits.append(led.where("not _open").select("word", "n", "node"))
         if last or nodes.where("_open").isEmpty():
             break
         own = F.col("counts")[level]
         inside = placed.where("_open").select("word", "n", "counts", F.concat("node", F.array(own)).alias("node"))
-        steps = F.array(
-            F.struct(F.lit(0).alias("d"), F.col("plus").alias("p"), F.col("minus").alias("m")),
-            F.when(F.col("plus") > 0, F.struct(F.lit(1).alias("d"), (F.col("plus") - 1).alias("p"), F.col("minus").alias("m"))),
-            F.when((F.col("minus") > 0) & (own > 0), F.struct(F.lit(-1).alias("d"), F.col("plus").alias("p"), (F.col("minus") - 1).alias("m"))),
-        )
-        search = led.where("_open").select("*", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s"))
-        search = search.select(
-            "word", "n", "counts", F.concat("node", F.array(own + F.col("s.d"))).alias("node"), F.col("s.p").alias("plus"), F.col("s.m").alias("minus")
-        )
-    home, visit = homes[0], visits[0]
-    for h, v in zip(homes[1:], visits[1:]):
-        home, visit = home.union(h), visit.union(v)
-    return home, visit
+        inside = materialize(inside, "inside")
+        stay = F.struct("node", "plus", "minus", "there")
+
+        def step(d: int, plus: Column, minus: Column) -> Column:
+            to = F.struct(F.concat("node", F.array(own + d)).alias("node"), plus.alias("plus"), minus.alias("minus"), F.col("there"))
+            return F.when((plus >= 0) & (minus >= 0), to)
+
+        plus, minus = F.col("plus"), F.col("minus")
+        steps = F.array(step(0, plus, minus), step(1, plus - 1, minus), step(-1, plus, minus - 1))
+        ways = F.when(F.col("there"), F.array(stay)).otherwise(F.filter(steps, lambda w: w.isNotNull()))
+        search = search.select("word", "n", "counts", F.explode(ways).alias("_w")).select("word", "n", "counts", "_w.*")
+    return reduce(DataFrame.union, homes), search.select("word", "n", "node")
 
 
 class CountTrie:
