@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.session import materialize, sized
 
-__all__ = ["WORD", "connected_classes", "crc_mod", "located", "materialize", "sized", "span_digest", "text_or_empty", "word_count"]
+__all__ = ["WORD", "connected_classes", "crc_mod", "located", "materialize", "overlapped", "sized", "span_digest", "text_or_empty", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _CHUNK = 256
@@ -100,6 +100,20 @@ def _span(x: Column, before: Column) -> Column:
     )
 
 
+def overlapped(row: str, by: Column) -> Column:
+    """Whether the span ``s`` of a row shares a place with a span for which ``by`` holds.
+
+    Spans of a row are passed twice in order of their starts: the furthest end
+    of those that begin no later, and the nearest start of those that begin
+    later, decide. Every frame grows by one span at a time.
+    """
+    earlier = Window.partitionBy(row).orderBy("s.start").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(row).orderBy(F.col("s.start").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    reached = F.max(F.when(by, F.col("s.end"))).over(earlier) > F.col("s.start")
+    begins = F.min(F.when(by, F.col("s.start"))).over(later) < F.col("s.end")
+    return F.coalesce(reached, F.lit(False)) | F.coalesce(begins, F.lit(False))
+
+
 def span_digest(listed: Column) -> Column:
     """Comma-joined ``kind:start:end`` of an array of (order.., kind, start, end) structs, in sorted order."""
     return F.array_join(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import located, materialize, span_digest, text_or_empty
+from granary.llm.common import located, materialize, overlapped, span_digest, text_or_empty
 
 # The base patterns, written so that no text makes them backtrack.
 ASSIGN = (
@@ -22,14 +22,15 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 SHORTEST_VALUE = 6
 
 # Weak parts: each alone is too common to report.
+# Names, values and addresses of any length; possessive, so that no text makes them backtrack.
 IDENTIFIER = (
-    r"(?i:\b(?:user(?:name)?|login|account|client_?id|access_?id|key_?id|tenant)\b)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?"
-    r"([A-Za-z0-9][A-Za-z0-9_.@-]{3,63})"
+    r"(?i:\b(?:user(?:name)?|login|account|client_?id|access_?id|key_?id|tenant)\b)[\"']?\x20*+[:=]\x20*+[\"']?"
+    r"([A-Za-z0-9][A-Za-z0-9_.@-]{3,}+)"
 )
-SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"  # of any length, with a digit, a capital and a small letter
+SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"  # with a digit, a capital and a small letter
 ENDPOINT = (
-    r"(?i:\b(?:https?|ftp|ssh|jdbc|postgres|mysql|mongodb|redis|amqp|s3)://)[^\x00-\x20\"'<>]{3,200}"
-    r"|(?i:\b(?:host|server|endpoint|url)\b)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9.-]{4,100}"
+    r"(?i:\b(?:https?|ftp|ssh|jdbc|postgres|mysql|mongodb|redis|amqp|s3)://)[^\x00-\x20\"'<>]{3,}+"
+    r"|(?i:\b(?:host|server|endpoint|url)\b)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9.-]{4,}+"
 )
 SCOPE = 240  # code points that parts of one credential may lie apart
 BASE_KINDS = ("assign", "access", "hex")
@@ -106,11 +107,14 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
     # what completes a part: values complete identifiers and endpoints, and the other way round
     holds = F.when(F.col("s.kind").isin("assign", "hex", "secret"), "value").otherwise("name")
-    parts = materialize(parts.withColumn("_holds", holds), "parts")
+    weak_kind = F.col("s.kind").isin(*WEAK_KINDS)
+    parts = parts.withColumns({"_holds": holds, "_covered": weak_kind & overlapped("_row", ~weak_kind)})
+    parts = materialize(parts, "parts")
     bucket = lambda c: F.floor(F.col(c) / scope)
     place = lambda after, b: F.struct(F.lit(after).alias("after"), b.alias("b"))
     ends = F.array(place(True, bucket("s.end")), place(False, bucket("s.start")))
-    weak_part = parts.where(F.col("s.kind").isin(*WEAK_KINDS)).select("_row", "s", "_holds", F.explode(ends).alias("_b"))
+    # a base span of the same place makes a weak part superfluous
+    weak_part = parts.where(weak_kind & ~F.col("_covered")).select("_row", "s", "_holds", F.explode(ends).alias("_b"))
     reach = F.array(
         place(True, bucket("s.start")),
         place(True, bucket("s.start") - 1),
@@ -125,19 +129,11 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         # spans of one place are one part, not two
         & (gap >= 0)
     )
-    # which weak parts are completed; a base span of the same place makes it superfluous
+    # which weak parts are completed
     linked = linked.groupBy("_row", "s").agg(F.count("*").alias("n")).groupBy("_row").agg(F.collect_list("s").alias("_found"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     joined = scanned.join(linked, "_row", "left")
-    own = F.concat("assign", "access", "hex")
-    return joined.select(
-        "doc_id",
-        *BASE_KINDS,
-        F.filter(
-            F.coalesce("_found", none),
-            lambda w: ~F.exists(own, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])),
-        ).alias("weak"),
-    )
+    return joined.select("doc_id", *BASE_KINDS, F.coalesce("_found", none).alias("weak"))
 
 
 def secret_report(spans: DataFrame) -> DataFrame:

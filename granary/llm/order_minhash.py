@@ -12,6 +12,8 @@ similarity of their shingles, counted along one alignment.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import re
 import numpy as np
 import pandas as pd
@@ -91,8 +93,11 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> int:
     """Shingles of ``a`` and ``b`` that one alignment pairs, or 0 if they are too few.
 
     A similar pair has at most n + m - 2 * enough unpaired shingles, so only
-    matches within that distance of the diagonal count. Rows of the alignment
-    matrix are bit vectors; equal ends are paired without one.
+    matches within that distance of the diagonal count; equal ends are paired
+    without a look. An alignment is a run of matches that rises in both
+    sequences: matches are listed in the order of one, the longest rising run
+    of their places in the other is found by its least ends. Labelled shingles
+    are distinct in a text, so there is one match each at most.
     """
     n, m = len(a), len(b)
     need = enough(n, m, threshold)
@@ -104,21 +109,23 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> int:
     differ = np.flatnonzero(a[n - (k - head) :][::-1] != b[m - (k - head) :][::-1]) if head < k else []
     tail = int(differ[0]) if len(differ) else k - head
     band = n + m - 2 * need
-    x, y = a[head : n - tail].tolist(), b[head : m - tail].tolist()
-    if len(x) > len(y):
-        x, y = y, x
-    places: dict[int, int] = {}
-    for i, s in enumerate(y):
-        places[s] = places.get(s, 0) | 1 << i
-    row = whole = (1 << len(y)) - 1
-    within = (1 << (2 * band + 1)) - 1
-    for i, s in enumerate(x):
-        hit = places.get(s)
-        if hit:
-            hit &= within << (i - band) if i > band else within >> (band - i)
-            u = row & hit
-            row = ((row + u) | (row - u)) & whole
-    total = head + tail + len(y) - row.bit_count()
+    x, y = a[head : n - tail], b[head : m - tail]
+    order = np.argsort(y, kind="stable")
+    ranked = y[order]
+    first, last = np.searchsorted(ranked, x, "left"), np.searchsorted(ranked, x, "right")
+    many = last - first
+    at = np.repeat(np.arange(len(x)), many)
+    # of several places for one shingle the later ones come first, so that one of them at most is in a run
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    place = order[np.repeat(last, many) - 1 - nth]
+    ends: list[int] = []
+    for j in place[np.abs(place - at) <= band].tolist():
+        e = bisect_left(ends, j)
+        if e == len(ends):
+            ends.append(j)
+        else:
+            ends[e] = j
+    total = head + tail + len(ends)
     return total if total >= need else 0
 
 

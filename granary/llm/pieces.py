@@ -33,7 +33,9 @@ class Vocabulary:
     def __init__(self, model_file: str):
         model = sentencepiece_model_pb2.ModelProto()
         with open(model_file, "rb") as f:
-            model.ParseFromString(f.read())
+            content = f.read()
+        model.ParseFromString(content)
+        self.digest = hashlib.sha256(content).hexdigest()
         spec = model.normalizer_spec
         if spec.name != "identity" or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only models with identity normalization and a dummy prefix are supported")
@@ -210,16 +212,15 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def codec_of(vocabulary: Vocabulary) -> Codec:
     """One codec per worker process and vocabulary, with its caches."""
-    key = hash((len(vocabulary.pieces), tuple(vocabulary.pieces[:: max(1, len(vocabulary.pieces) // 997)])))
-    if key not in _codecs:
+    if vocabulary.digest not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(vocabulary)
-    return _codecs[key]
+        _codecs[vocabulary.digest] = Codec(vocabulary)
+    return _codecs[vocabulary.digest]
 
 
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import located, materialize, span_digest, text_or_empty
+from granary.llm.common import located, materialize, overlapped, span_digest, text_or_empty
 
 # The base patterns, written so that no text makes them backtrack.
 # A local part can begin only after a character it cannot contain, or where the last match ended.
@@ -24,11 +24,16 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = "identifier"
 ORDER = {k: i for i, k in enumerate((*KINDS, EXTRA))}
-#: candidates: tokens with 4 digits or more that are not plain numbers of few digits
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[A-Za-z]{0,12}[-_#:]?[0-9](?:[0-9A-Za-z-]){3,30}(?![^\x20\x09-\x0D.,;:!?])"
+#: candidates: letters, a mark, then a digit and 3 or more further letters, digits and hyphens; or groups of hex digits as in a UUID
+CANDIDATE = (
+    r"(?<![^\x20\x09-\x0D])(?:[A-Za-z]*+[-_#:]?+[0-9][0-9A-Za-z-]{3,}+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12})"
+    r"(?![^\x20\x09-\x0D.,;:!?])"
+)
 ROUNDS = 3
 CONFIDENT = 0.8
-SUPPORT = 3  # distinct seed values that a pattern needs
+SUPPORT = 3.0  # sum of the scores that a pattern's instances need
+_NEAR = 48  # code points before a match that mostly hold its context
+_PIECE = 4096
 PRIOR = 1.0  # added to a pattern's number of instances
 
 _SPAN = "array<struct<rank:int,start:bigint,kind:string,end:bigint,value:string,two:string,one:string>>"
@@ -62,6 +67,11 @@ def _spans(kind: str, text: Column, pattern: str, when: Column, keep=None) -> Co
     if keep is not None:
         rows = F.filter(rows, lambda s: keep(s["found"]))
     # the two words and the one word before, as far as they stand after the match before this one
+    def context(s: Column, words: str) -> Column:
+        tail = F.right(s["before"], F.lit(_NEAR))
+        whole = tail.rlike(r"[\x20\x09-\x0D][^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$")
+        return F.lower(F.regexp_extract(F.when(whole, tail).otherwise(s["before"]), words + r"[\x20\x09-\x0D]*+$", 1))
+
     out = F.transform(
         rows,
         lambda s: F.struct(
@@ -70,8 +80,8 @@ def _spans(kind: str, text: Column, pattern: str, when: Column, keep=None) -> Co
             F.lit(kind).alias("kind"),
             s["end"].alias("end"),
             s["found"].alias("value"),
-            F.lower(F.regexp_extract(F.right(s["before"], F.lit(48)), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("two"),
-            F.lower(F.regexp_extract(F.right(s["before"], F.lit(48)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("one"),
+            context(s, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)").alias("two"),
+            context(s, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)").alias("one"),
         ),
     )
     return F.coalesce(out, F.array().cast(_SPAN))
@@ -109,16 +119,16 @@ def private_spans(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
     base = base_spans(body)
     weak = _spans(EXTRA, body, CANDIDATE, body.rlike("[0-9][0-9A-Za-z-]{3}"))
     own = F.concat(*KINDS)
-    apart = F.filter(
-        "_weak", lambda w: ~F.exists(own, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    )
     scanned = docs.select(*keys, text_or_empty(text).alias("_text")).select(
         *keys, *[c.alias(k) for k, c in base.items()], weak.alias("_weak"), F.monotonically_increasing_id().alias("_row")
     )
-    scanned = materialize(scanned.select(*keys, *KINDS, apart.alias("_weak"), "_row"), "private")
+    scanned = materialize(scanned, "private")
     found = scanned.where(F.size(own) + F.size("_weak") > 0).select(
         "_row", F.explode(F.concat(own, F.col("_weak"))).alias("s")
     )
+    # a candidate that shares a place with a base span is none
+    extra = F.col("s.kind") == EXTRA
+    found = materialize(found.withColumn("_covered", extra & overlapped("_row", ~extra)).where("not _covered"), "spans")
     contexts = F.array(
         F.when(F.col("s.two") != "", F.concat(F.lit("2 "), F.col("s.two"))),
         F.when(F.col("s.one") != "", F.concat(F.lit("1 "), F.col("s.one"))),
@@ -131,29 +141,21 @@ def private_spans(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
         .agg(F.max(F.col("seed").cast("double")).alias("seed")),
         "graph",
     )
-    # patterns that never meet enough seeds cannot become confident: they leave the graph at once
-    strong = edges.groupBy("pattern").agg(F.sum("seed").alias("_seeds")).where(F.col("_seeds") >= SUPPORT)
-    edges = materialize(edges.join(strong.select("pattern"), "pattern"), "graph")
+    # scores are at most 1: a pattern of too few instances can never have the support
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("_n")).where(F.col("_n") >= SUPPORT)
+    edges = materialize(edges.join(enough.select("pattern"), "pattern"), "graph")
     scores = edges.select("value", "seed").groupBy("value").agg(F.max("seed").alias("score"))
+    mean = F.sum("score") / (F.count("*") + PRIOR)
+    trust = F.when(F.sum("score") >= SUPPORT, mean).otherwise(0.0).alias("trust")
     for _ in range(rounds):
-        patterns = (
-            edges.join(scores, "value")
-            .groupBy("pattern")
-            .agg((F.sum("score") / (F.count("*") + PRIOR)).alias("trust"))
-        )
+        patterns = edges.join(scores, "value").groupBy("pattern").agg(trust)
         scores = materialize(
             edges.join(patterns, "pattern")
             .groupBy("value")
             .agg(F.greatest(F.max("seed"), F.max("trust")).alias("score")),
             "scores",
         )
-    trusted = (
-        edges.join(scores, "value")
-        .groupBy("pattern")
-        .agg((F.sum("score") / (F.count("*") + PRIOR)).alias("trust"))
-        .where(F.col("trust") >= CONFIDENT)
-        .select("pattern")
-    )
+    trusted = edges.join(scores, "value").groupBy("pattern").agg(trust).where(F.col("trust") >= CONFIDENT).select("pattern")
     more = placed.where(F.col("s.kind") == EXTRA).join(trusted, "pattern", "left_semi")
     more = more.groupBy("_row").agg(F.collect_set("s").alias("_more"))
     return scanned.join(more, "_row", "left").select(
@@ -172,6 +174,55 @@ def private_report(spans: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(body: Column) -> Column:
+    """The text in pieces of ``_PIECE`` code points, so that none is sought from the start of a long text."""
+    return F.regexp_extract_all(body, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from one code point to another, out of its pieces."""
+    a, b = F.floor(start / _PIECE).cast("int"), F.floor(end / _PIECE).cast("int")
+    at = (start % _PIECE + 1).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    inside = F.substring(piece(a), at, (end - start).cast("int"))
+    across = F.concat(
+        F.substring(piece(a), at, F.lit(_PIECE)),
+        F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""),
+        F.substring(piece(b), F.lit(1), (end % _PIECE).cast("int")),
+    )
+    return F.when(a == b, inside).otherwise(across)
+
+
+def _marked_up(box: Column) -> Column:
+    """The text with its sorted spans replaced by their kinds; a span that begins inside an earlier one only prolongs it.
+
+    How far the spans before a span reach is a running maximum over chunks.
+    """
+    chunk, spans, pieces = 256, box["s"], box["t"]
+    furthest = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
+    sums = F.aggregate(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / chunk).cast("int")), lambda c: furthest(F.slice(spans, c * chunk + 1, F.lit(chunk)))),
+        F.array(F.lit(0).cast("long")),
+        lambda a, x: F.concat(a, F.array(F.greatest(F.element_at(a, -1), x))),
+    )
+
+    def place(reach: Column) -> Column:
+        def reached(i: Column) -> Column:
+            c = F.floor(i / chunk).cast("int")
+            return F.greatest(F.get(reach, c), furthest(F.slice(spans, c * chunk + 1, (i % chunk).cast("int"))))
+
+        placed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), reached(i).alias("from"), s["kind"].alias("kind")))
+        shown = F.transform(
+            F.filter(placed, lambda s: s["start"] >= s["from"]),
+            lambda s: F.concat(_between(pieces, s["from"], s["start"]), F.lit("<"), s["kind"], F.lit(">")),
+        )
+        last = F.element_at(reach, -1)
+        whole = (F.size(pieces) * F.lit(_PIECE)).cast("long")
+        return F.concat(F.array_join(shown, ""), _between(pieces, last, whole))
+
+    return F.get(F.transform(F.array(sums), place), F.lit(0))
+
+
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every found span replaced by its kind in angle brackets; n_chars follows.
 
@@ -188,22 +239,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
         )
     )
-    no_text = F.array().cast("array<string>")
-
-    def cut(a: Column, s: Column) -> Column:
-        before = F.substring(body, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        added = F.when(s["start"] >= a["at"], F.array(before, F.concat(F.lit("<"), s["kind"], F.lit(">")))).otherwise(no_text)
-        longer = F.struct(s["end"].alias("at"), F.concat(a["out"], added).alias("out"))
-        return F.when(s["end"] <= a["at"], a).otherwise(longer)
-
-    built = F.aggregate(
-        every,
-        F.struct(F.lit(0).cast("long").alias("at"), no_text.alias("out")),
-        cut,
-        lambda a: F.concat(
-            F.array_join(a["out"], ""), F.substring(body, (a["at"] + 1).cast("int"), F.lit(2147483647))
-        ),
-    )
+    built = F.get(F.transform(F.array(F.struct(_pieces(body).alias("t"), every.alias("s"))), _marked_up), F.lit(0))
     spans = spans.withColumn("_clean", F.when(F.size(every) > 0, built).otherwise(body))
     out = {c: F.col("_doc")[c].alias(c) for c in docs.columns}
     out[text] = F.col("_clean").alias(text)

@@ -181,8 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, he
     """Fits ``labels.quality`` from rows whose crc32(doc_id) mod 4 is not ``held_out``.
 
     At most ``most_rows`` labelled rows are used, those of least hash; so the
-    sample joined to the documents is bounded and is broadcast. Null labels
-    and ids are left out; repeated labels are repeated rows.
+    sample joined to the documents is bounded and is broadcast. Documents that
+    share a sampled id are all candidates, and again at most ``most_rows`` of
+    least hash are learned from. Null labels and ids are left out; repeated
+    labels are repeated rows.
     """
     spark = docs.sparkSession
     chosen = (
@@ -197,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, he
         return fit_forest(np.zeros((0, len(FEATURES))), np.zeros(0))
     sample = spark.createDataFrame(chosen, labels.select("doc_id").schema.add("_y", "double"))
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = _statistics(rows, ["doc_id", "_y"]).select("_y", "stats").toPandas()
+    got = _statistics(rows, ["doc_id", "_y"]).orderBy(F.xxhash64("doc_id", "_y", "stats"), "doc_id").limit(most_rows)
+    got = got.select("_y", "stats").toPandas()
     if got.empty:
         return fit_forest(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(got.stats.to_numpy()), got._y.to_numpy()
