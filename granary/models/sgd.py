@@ -2,7 +2,8 @@
 
 With fixed batches, one mini-batch step depends on the batch only through its
 cross products, so one job over the data serves all steps of all epochs. The
-one-row-per-step form runs inside partitions and averages their weights.
+one-row-per-step form runs inside a fixed number of parts and averages their
+weights.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from granary.functions.scalars import col
 from granary.models.linear import LinearModel, _with_bias
 from granary.operators.gram import Moments, moments, total
 from granary.operators.ranking import key_hash
-from granary.session import fill_cores
 
 # fixed values: learning rate at epoch t of T from start value r and decay d
 SCHEDULES: dict[str, Callable[[float, float, float, float], float]] = {
@@ -90,43 +91,64 @@ def averaged_sgd(
     df: DataFrame,
     features: Sequence[str],
     target: str,
+    keys: Sequence[str],
     rate: float,
     epochs: int,
     seed: int,
     schedule_name: str = "inverse",
     decay: float = 0.1,
+    parts: int = 64,
 ) -> LinearModel:
-    """One row per step inside each partition; row-weighted average after every epoch."""
+    """One row per step inside each of ``parts`` parts; row-weighted average after every epoch.
+
+    A row's part and its place in it come from the hash of its keys, so the
+    weights depend neither on partitions nor on cores. A task steps through all
+    of its parts at once, one row of each as one vector step. Rows with a null
+    cell are left out; rows of equal keys go by their values.
+    """
     names = [*features, target]
-    rows = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
-    rows = fill_cores(rows, *rows.columns)
+    cells = [f"x{i}" for i in range(len(names))]
+    rows = df.select(key_hash(keys, seed).alias("_h"), *[col(c).cast("double").alias(x) for c, x in zip(names, cells)]).dropna()
+    part = (F.conv(F.substring("_h", 1, 7), 16, 10).cast("long") % parts).cast("int")
+    rows = rows.withColumn("_p", part).repartition("_p").sortWithinPartitions("_h", *cells)
+    rows = rows.select("_p", *cells).persist(StorageLevel.DISK_ONLY)  # sorted once; a lost part is sorted again
     p = len(features)
     theta = np.zeros(p + 1)
     costs = []
     for epoch in range(epochs):
         r = schedule(schedule_name, rate, decay, epoch, epochs)
-        start = theta
 
-        def steps(batches, start=start, r=r, epoch=epoch):
-            rng = np.random.default_rng(seed + epoch)
-            w, n, sse = start.copy(), 0, 0.0
+        def steps(batches, start=theta, r=r):
+            w = np.tile(start, (parts, 1))
+            n, sse = np.zeros(parts, np.int64), np.zeros(parts)
             for b in batches:
-                z = b.to_numpy(dtype=float)[rng.permutation(len(b))]
-                xs, ys = np.column_stack([np.ones(len(z)), z[:, :p]]), z[:, p].tolist()
-                for x, y in zip(xs, ys, strict=True):
-                    e = float(x.dot(w)) - y
-                    w -= r * e * x
-                    sse += e * e
-                n += len(z)
-            if n:
-                yield pd.DataFrame({"w": [w], "n": [n], "sse": [sse]})
-
-        parts = rows.mapInPandas(steps, "w array<double>, n long, sse double")
-        sums = parts.agg(
-            *[F.sum(F.get("w", F.lit(i)) * F.col("n")).alias(f"w{i}") for i in range(p + 1)],
-            F.sum("n").alias("n"),
-            F.sum("sse").alias("sse"),
-        ).first()
-        theta = np.array([sums[f"w{i}"] / sums.n for i in range(p + 1)])
-        costs.append(sums.sse / sums.n / 2)
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
+                x, y = np.column_stack([np.ones(len(z)), z[:, :p]]), z[:, p]
+                for at in _turns(own):
+                    lane = own[at]
+                    e = np.einsum("ij,ij->i", x[at], w[lane]) - y[at]
+                    w[lane] -= r * e[:, None] * x[at]
+                    n[lane] += 1
+                    sse[lane] += e * e
+            met = np.flatnonzero(n)
+            lists = pa.array(list(w[met]), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(met), lists, pa.array(n[met]), pa.array(sse[met])], names=["part", "w", "n", "sse"])
+
+        found = rows.mapInArrow(steps, "part long, w array<double>, n long, sse double").orderBy("part").collect()  # parts rows
+        if not found:
+            break
+        n = np.array([f.n for f in found], float)
+        theta = (np.array([f.w for f in found]) * n[:, None]).sum(0) / n.sum()
+        costs.append(float(sum(f.sse for f in found) / n.sum() / 2))
+    rows.unpersist()
     return LinearModel(tuple(features), theta[1:], float(theta[0]), tuple(costs))
+
+
+def _turns(own: np.ndarray):
+    """Row numbers, the first row of every part, then the second of every part, and so on."""
+    order = np.argsort(own, kind="stable")
+    first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]]) if len(own) else np.zeros(0, int)
+    place = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+    by_turn = order[np.argsort(place, kind="stable")]
+    return np.split(by_turn, np.cumsum(np.bincount(place))[:-1]) if len(own) else []

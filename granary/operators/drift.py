@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import col, equal_width_bin
 from granary.operators import evaluate as E
+from granary.operators.joins import join_groups
 from granary.operators.quantiles import exact_quantiles, long_values
 from granary.operators.ranking import global_row_number, order_buckets
+from granary.session import sized
 
 # fixed values: smallest share, drift limit, rows needed
 MIN_SHARE = 1e-4
@@ -177,35 +179,59 @@ def trend_direction(windows: DataFrame) -> DataFrame:
 
 
 def rolling_per_entity(
-    df: DataFrame, entity: str, order: str, tie: str, back: int, aggs: dict[str, Column], buckets: int | None = None
+    df: DataFrame,
+    entity: str,
+    order: str,
+    tie: str,
+    back: int,
+    aggs: dict[str, Column],
+    buckets: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Aggregates over each row and the ``back`` rows before it of the same entity.
 
-    A busy entity is cut along time: every slice also gets the few rows before
-    it, so slices are independent tasks and the result is exact.
+    An entity of more than ``slice_rows`` rows (100 x ``back``) is cut along its
+    own order into slices of about that many, which also get the ``back`` rows
+    before them: at most one row in a hundred travels twice, and slices are
+    independent tasks. Other entities are one slice, and so is a null one.
+    """
+    width = slice_rows or 100 * max(back, 1)
+    sizes = df.groupBy(entity).agg(F.count("*").alias("_n")).where(F.col("_n") > width)
+    busy = sized(sizes.select(entity), "busy")  # at most one entity per ``width`` rows
+    frame = Window.partitionBy(entity, "_s").orderBy(order, tie).rowsBetween(-back, 0)
+    whole = F.lit(0).cast("long").alias("_s")
+    if busy.isEmpty():
+        rows = df.select("*", whole, F.lit(1).alias("_own"))
+    else:
+        rest = join_groups(df, busy, [entity], "left_anti").select(*df.columns, whole, F.lit(1).alias("_own"))
+        rows = rest.unionByName(_sliced(join_groups(df, busy, [entity], "left_semi"), entity, order, tie, back, width, buckets))
+    out = rows.select(*df.columns, "_own", *[a.over(frame).alias(n) for n, a in aggs.items()])
+    return out.where("_own = 1").drop("_own")
+
+
+def _sliced(df: DataFrame, entity: str, order: str, tie: str, back: int, width: int, buckets: int | None) -> DataFrame:
+    """Rows with their slice ``_s``; rows carried into a later slice once more, with ``_own`` 0.
+
+    Cells are the ranges of the global order; those of an entity that begin
+    within the same ``width`` rows of it form a slice.
     """
     placed = order_buckets(df, order, tie, buckets)
-    slice_keys = [entity, "_b", "_t"]
-    counts = placed.groupBy(*slice_keys).agg(F.count("*").alias("_c"))
-    # one entry per slice of the entity
-    seq = Window.partitionBy(entity).orderBy("_b", "_t").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(seq), F.lit(0)))
-    slices = counts.groupBy(entity).agg(F.collect_list(F.struct("_b", "_t", "_start")).alias("_slices"))
+    cell = [entity, "_b", "_t"]
+    counts = placed.groupBy(*cell).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(entity).orderBy("_b", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_from", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+    cells = sized(counts.withColumn("_s", F.floor(F.col("_from") / width)), "cells")
+    slices = cells.groupBy(entity, "_s").agg(F.sum("_c").alias("_c"), F.min("_from").alias("_start"))
+    listed = sized(slices.groupBy(entity).agg(F.collect_list(F.struct("_s", "_start")).alias("_slices")), "slices")
+    own = join_groups(placed, cells.select(*cell, "_s"), cell).select(*df.columns, "_s", F.lit(1).alias("_own"))
     # the last rows of a slice are limited per task before the shuffle
-    end = Window.partitionBy(*slice_keys).orderBy(F.desc(order), F.desc(tie))
-    tails = placed.withColumn("_rd", F.row_number().over(end)).where(F.col("_rd") <= back).join(counts, slice_keys)
+    end = Window.partitionBy(entity, "_s").orderBy(F.desc(order), F.desc(tie))
+    tails = own.withColumn("_rd", F.row_number().over(end)).where(F.col("_rd") <= back)
+    tails = join_groups(tails, slices, [entity, "_s"])
     position = F.col("_start") + F.col("_c") - F.col("_rd") + 1
     needed = F.filter("_slices", lambda s: (s["_start"] >= position) & (s["_start"] < position + back))
-    carried = (
-        tails.join(slices, entity)
-        .select(*df.columns, F.explode(needed).alias("_s"))
-        .select(*df.columns, F.col("_s._b").alias("_b"), F.col("_s._t").alias("_t"), F.lit(0).alias("_own"))
-    )
-    own = placed.select(*df.columns, "_b", "_t", F.lit(1).alias("_own"))
-    frame = Window.partitionBy(*slice_keys).orderBy(order, tie).rowsBetween(-back, 0)
-    both = own.unionByName(carried)
-    out = both.select(*df.columns, "_own", *[a.over(frame).alias(n) for n, a in aggs.items()])
-    return out.where("_own = 1").drop("_own")
+    carried = join_groups(tails.drop("_s"), listed, [entity]).select(*df.columns, F.explode(needed).alias("_to"))
+    return own.unionByName(carried.select(*df.columns, F.col("_to._s").alias("_s"), F.lit(0).alias("_own")))
 
 
 def retraining_decision(

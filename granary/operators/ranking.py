@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from granary.operators.joins import join_groups
 from granary.operators.quantiles import split_points
-from granary.session import materialize
+from granary.session import materialize, sized
 
-HASH_DIGITS = 4  # 65536 buckets of equal expected size
+HASH_DIGITS = 3  # 4096 buckets of equal expected size at a time
+BUCKET_ROWS = 20_000  # rows of a bucket that one task may rank
+FEW_BUCKETS = 50_000  # so many bucket names may be broadcast
 
 
 def key_hash(keys: Sequence[str | Column], seed: int) -> Column:
@@ -33,52 +36,62 @@ def hash_cuts(
     ranks: Sequence[Column],
     by: Sequence[str] = (),
     digits: int = HASH_DIGITS,
+    most: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Per group the hash of the row at each wanted rank (columns c0, c1, ..).
+    """Per group the hash of the row at each wanted rank (columns n, c0, c1, ..).
 
     ``ranks`` are expressions over ``n`` (rows in the group). Rank 0 gives ''.
-    Rows are never ranked as a whole: only the buckets a rank falls into are.
+    Rows are counted by the first digits of their hash, added up in each task;
+    the bucket that holds a rank is counted by its next digits, and so on until
+    it has at most ``most`` rows, or only one hash. Only rows of those last
+    buckets leave their task. Counts are written tables; whether a bucket is
+    still too large is all that reaches the driver.
     """
     by = list(by)
-    bucket = F.substring(hash_col, 1, digits)
-    counts = df.groupBy(*by, bucket.alias("_b")).agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counts = counts.select(
-        *by,
-        "_b",
-        "_c",
-        F.sum("_c").over(group).alias("n"),
-        (
-            F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_c")
-        ).alias("_before"),
-    )
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("_i"), r.cast("long").alias("_r")) for i, r in enumerate(ranks)]
-    )
-    targets = counts.select("*", F.inline(wanted))
-    inner = targets.where(
-        (F.col("_r") > F.col("_before")) & (F.col("_r") <= F.col("_before") + F.col("_c"))
-    ).select(*by, "_b", "_i", (F.col("_r") - F.col("_before")).alias("_r"))
-    rows = df.select(*by, F.col(hash_col).alias("_h"), bucket.alias("_b"))
-    touched = inner.select(*by, "_b").distinct()
-    if not by:
-        touched, inner = F.broadcast(touched), F.broadcast(inner)
+    rows = df.select(*by, F.col(hash_col).alias("_h"))
+    known = materialize(_prefix_counts(rows, by, digits), "hash-counts")
+    sizes = known.groupBy(*by).agg(F.sum("_c").alias("n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("_i"), r.cast("long").alias("_r")) for i, r in enumerate(ranks)])
+    found = _located(known, sizes.select(*by, F.inline(wanted)).where("_r > 0"), by)
+    cuts, length = [], digits
+    while True:
+        found = materialize(found, "buckets")
+        # a bucket of one hash needs no ranking, however many rows it has
+        cuts.append(found.where("_lo = _hi").select(*by, "_i", F.col("_lo").alias("_h")))
+        found = found.where("_lo < _hi")
+        left = found.agg(F.count("*").alias("n"), F.max("_c").alias("largest")).first()
+        touched = found.select(*by, "_b").distinct()
+        touched = F.broadcast(touched) if left.n <= FEW_BUCKETS else sized(touched, "touched")
+        inside = join_groups(rows.withColumn("_b", F.substring("_h", 1, length)), touched, [*by, "_b"], "left_semi")
+        if (left.largest or 0) <= most:
+            break
+        length += digits
+        known = _prefix_counts(inside, [*by, "_b"], length, "_next")
+        found = _located(known, found.select(*by, "_b", "_i", "_r"), [*by, "_b"], "_next")
+        found = found.drop("_b").withColumnRenamed("_next", "_b")
     within = Window.partitionBy(*by, "_b").orderBy("_h")
-    found = (
-        join_groups(
-            join_groups(rows, touched, [*by, "_b"], "left_semi").withColumn("_rn", F.row_number().over(within)),
-            inner.withColumnRenamed("_r", "_rn"),
-            [*by, "_b", "_rn"],
-        )
-        .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("_i") == i, F.col("_h"))).alias(f"c{i}") for i in range(len(ranks))])
-    )
-    sizes = counts.select(*by, "n").distinct()
-    full = join_groups(sizes, found, by, "left") if by else sizes.join(F.broadcast(found))
-    return full.select(
-        *by, "n", *[F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(len(ranks))]
-    )
+    last = found.select(*by, "_b", "_i", F.col("_r").alias("_rn"))
+    ranked = join_groups(inside.withColumn("_rn", F.row_number().over(within)), last, [*by, "_b", "_rn"])
+    every = reduce(DataFrame.unionByName, [*cuts, ranked.select(*by, "_i", "_h")])
+    every = every.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_h"))).alias(f"c{i}") for i in range(len(ranks))])
+    full = join_groups(sizes, every, by, "left") if by else sizes.join(F.broadcast(every))
+    return full.select(*by, "n", *[F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(len(ranks))])
+
+
+def _prefix_counts(rows: DataFrame, by: Sequence[str], length: int, name: str = "_b") -> DataFrame:
+    """Rows, least and greatest hash per group and hash prefix."""
+    prefix = F.substring("_h", 1, length).alias(name)
+    return rows.groupBy(*by, prefix).agg(F.count("*").alias("_c"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+
+
+def _located(counts: DataFrame, targets: DataFrame, by: Sequence[str], name: str = "_b") -> DataFrame:
+    """The bucket of every wanted rank, and the rank inside it; a group has at most 16 ** digits buckets."""
+    upto = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    running = F.sum("_c").over(upto.orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select("*", (running - F.col("_c")).alias("_before"))
+    both = join_groups(placed, targets, by) if by else placed.join(F.broadcast(targets))
+    hit = both.where((F.col("_r") > F.col("_before")) & (F.col("_r") <= F.col("_before") + F.col("_c")))
+    return hit.withColumn("_r", F.col("_r") - F.col("_before")).drop("_before")
 
 
 def default_buckets(df: DataFrame) -> int:

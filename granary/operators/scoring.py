@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from granary.functions.scalars import clip, col, sigmoid
 from granary.operators.profile import melt_aggregates
 from granary.operators.quantiles import exact_quantiles, quantile_values
+from granary.operators.similar import nearest_by_common
 
 # fixed values: log prices above this are not believed, and no price is above the cap
 LOG_LIMIT = 15.0
@@ -124,37 +125,6 @@ def default_chain(*sources) -> Column:
     return F.coalesce(*[col(s) for s in sources], F.lit(0.0))
 
 
-def similar_by_common(asked: DataFrame, table: DataFrame, key: str, given: dict[str, float], n: int) -> DataFrame:
-    """(key, rank, neighbor): the n rows of ``table`` nearest to every row of ``asked``, ties by key.
-
-    Distance is the mean, over the features that both rows have, of weight x
-    |difference| / deviation. Rows are taken apart by which of the asked row's
-    features they share, so each part is a search of equally long vectors;
-    there are at most 3 ** features parts. Rows without a common feature are
-    no neighbours.
-    """
-    from granary.operators.neighbors import nearest
-
-    names = list(given)
-    dev = table.agg(*[F.stddev(c).alias(c) for c in names]).first()
-    bits = reduce(lambda a, b: a + b, [F.when(col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(names)])
-    kinds = lambda df: {r._bits for r in df.select(bits.alias("_bits")).distinct().collect()}
-    row_kinds = kinds(table)
-    found = []
-    for a in sorted(kinds(asked)):
-        for common in sorted({a & r for r in row_kinds} - {0}):
-            parts = [c for i, c in enumerate(names) if common >> i & 1]
-            vector = F.array(*[col(c).cast("double") * F.lit(given[c] / (dev[c] or 1.0) / len(parts)) for c in parts])
-            left = asked.where(bits == a).withColumn("_v", vector)
-            right = table.where(bits.bitwiseAND(F.lit(a)) == common).withColumn("_v", vector)
-            found.append(nearest(left, right, key, key, "_v", n, metric="l1").select(key, "neighbor", "distance"))
-    if not found:
-        return asked.select(key, F.lit(1).alias("rank"), col(key).cast("long").alias("neighbor")).limit(0)
-    best = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbor"))
-    every = reduce(DataFrame.unionByName, found).withColumn("rank", best)
-    return every.where(F.col("rank") <= n).select(key, "rank", "neighbor")
-
-
 def fill_from_similar(
     asked: DataFrame,
     table: DataFrame,
@@ -166,14 +136,14 @@ def fill_from_similar(
 ) -> DataFrame:
     """Fill the columns ``fill`` of many rows from their n most similar rows.
 
-    ``given``: feature -> weight, see ``similar_by_common``. A missing value
+    ``given``: feature -> weight, see ``similar.nearest_by_common``. A missing value
     becomes the median of the similar rows' values; a value beyond ``extreme``
     the median of those within three deviations of the column's median. Without
     such values the column's median takes their place, and 0 if it has none.
     Last, every value of these columns is limited to their 5 % - 95 % range.
     """
     wanted = reduce(lambda a, b: a | b, [col(c).isNull() | (F.abs(col(c)) > extreme) for c in fill])
-    near = similar_by_common(asked.where(wanted), table, key, given, n)
+    near = nearest_by_common(asked.where(wanted), table, key, given, n)
     q = quantile_values(table, list(fill), [0.05, 0.5, 0.95])
     dev = table.agg(*[F.stddev(c).alias(c) for c in fill]).first()
     values = table.select(col(key).cast("long").alias("neighbor"), *[col(c).cast("double").alias(f"_{c}") for c in fill])

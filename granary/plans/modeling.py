@@ -124,7 +124,7 @@ def history_rows(t, models):
 
 @query("m3_stochastic_gradient_descent")
 def _(t):
-    model = sgd.averaged_sgd(scaled_rows(t), ["x1", "x2"], "y", 0.05, 5, 42)
+    model = sgd.averaged_sgd(scaled_rows(t), ["x1", "x2"], "y", LINE_KEY, 0.05, 5, 42)
     return model.coefficients(t.spark)
 
 
@@ -382,8 +382,8 @@ def _(t):
     return E.t_interval(sq, "e2").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-CV_SQL = f"""SELECT fold, count(*) AS n, 1 - sum((y - w * x1 - b) * (y - w * x1 - b)) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - w * x1 - b) * (y - w * x1 - b))) AS rmse
-  FROM {REG} r JOIN (SELECT k, regr_slope(y, x1) AS w, regr_intercept(y, x1) AS b FROM {REG} f JOIN (SELECT unnest(range(5)) AS k) ON f.fold <> k GROUP BY k) m ON r.fold = m.k GROUP BY fold"""
+CV_SQL = f"""SELECT fold, count(*) AS n, 1 - sum((y - w * x1 - b) * (y - w * x1 - b)) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - w * x1 - b) * (y - w * x1 - b))) AS rmse,
+  avg(abs(y - w * x1 - b)) AS mae FROM {REG} r JOIN (SELECT k, regr_slope(y, x1) AS w, regr_intercept(y, x1) AS b FROM {REG} f JOIN (SELECT unnest(range(5)) AS k) ON f.fold <> k GROUP BY k) m ON r.fold = m.k GROUP BY fold"""
 
 
 def cv_rows(t, kind="ols", params=None, scoring="r2", scale=False, features=("x1",)):
@@ -542,9 +542,14 @@ def _(t):
 # ---------------------------------------------------------------- O cross-validation and tuning
 
 
-@query("o1_cross_val_score", f"SELECT fold, n, round(r2, 8) AS r2 FROM ({CV_SQL})")
+@query("o1_cross_val_score", f"SELECT fold, n, round(r2, 8) AS r2, round(mae, 4) AS mae FROM ({CV_SQL})")
 def _(t):
-    return cv_rows(t).withColumn("r2", F.round("r2", 8))
+    df = regression_rows(t)
+    folds = moments(df, ["x1"], "y", "fold")
+    r2 = search.cross_val_score(folds, "ols", {}, "r2")
+    mae = search.cross_val_score(folds, "ols", {}, "mae", rows=df)
+    rows = [(a["fold"], a["n"], round(a["score"], 8), round(b["score"], 4)) for a, b in zip(r2, mae, strict=True)]
+    return t.spark.createDataFrame(rows, "fold int, n long, r2 double, mae double")
 
 
 @query(
@@ -600,6 +605,23 @@ def grid_rows(t):
     )
 
 
+@query(
+    "o4_grid_search_mae",
+    f"""WITH tr AS (SELECT k, avg(x1) AS mx, avg(y) AS my, var_pop(x1) * count(*) AS sxx, covar_pop(x1, y) * count(*) AS sxy FROM {REG} f JOIN (SELECT unnest(range(5)) AS k) ON f.fold <> k GROUP BY k),
+      w AS (SELECT alpha, k, mx, my, sxy / (sxx + alpha) AS w FROM tr, (SELECT unnest([0.1, 10.0, 1000.0, 100000.0, 1000000.0]::DOUBLE[]) AS alpha)),
+      s AS (SELECT alpha, k, avg(abs(y - my - w * (x1 - mx))) FILTER (fold = k) AS test, avg(abs(y - my - w * (x1 - mx))) FILTER (fold <> k) AS train FROM {REG}, w GROUP BY ALL)
+    SELECT alpha, round(avg(test), 4) AS mean_score, round(avg(train), 4) AS mean_train_score, row_number() OVER (ORDER BY avg(test), alpha) AS rank FROM s GROUP BY alpha""",
+)
+def _(t):
+    df = regression_rows(t)
+    grid = search.parameter_grid({"alpha": [0.1, 10.0, 1000.0, 100000.0, 1000000.0]})
+    rows = search.search(moments(df, ["x1"], "y", "fold"), "ridge", grid, "mae", data=df)
+    return t.spark.createDataFrame(
+        [(r["params"]["alpha"], round(r["mean_score"], 4), round(r["mean_train_score"], 4), r["rank"]) for r in rows],
+        "alpha double, mean_score double, mean_train_score double, rank int",
+    )
+
+
 @query("f6_grid_ranks", GRID_SQL + "SELECT alpha, row_number() OVER (ORDER BY avg(r2) DESC, alpha) AS rank FROM s GROUP BY alpha")
 def _(t):
     from pyspark.sql import Window

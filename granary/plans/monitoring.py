@@ -432,16 +432,46 @@ def _(t):
     return status.select("week", *[c.alias(n) for n, c in out.items()])
 
 
-@query("q11_retrain_job")
+#: first and end day of the rows that each attempt learns from; validation rows begin at the last end
+RETRAIN_WINDOWS = (("1900-01-01", "1997-01-01"), ("1996-01-01", "1999-01-01"), ("1998-01-01", "2000-07-01"))
+RETRAIN_SQL = """WITH l AS (SELECT l_shipdate AS d, l_quantity::DOUBLE AS x, ln(1 + l_extendedprice::DOUBLE) AS y FROM lineitem),
+  w AS (SELECT * FROM (VALUES {windows}) AS w(version, a, b)),
+  m AS (SELECT version, count(*) AS n_rows, regr_slope(y, x) AS w, regr_intercept(y, x) AS b0 FROM l JOIN w ON d >= a AND d < b GROUP BY version),
+  s AS (SELECT version, any_value(n_rows) AS n_rows, any_value(w) AS w, any_value(b0) AS b0, sqrt(avg(pow(exp(y) - exp(w * x + b0), 2))) AS rmse
+    FROM l, m WHERE d >= TIMESTAMP '{end}' GROUP BY version),
+  p AS (SELECT *, min(rmse) OVER (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM s)
+  SELECT version, n_rows, round(w, 7) AS weight, round(b0, 7) AS intercept, round(rmse, 3) AS rmse, round(previous, 3) AS previous_rmse,
+    CAST(previous IS NULL OR rmse < previous AS INT) AS published FROM p""".format(
+    windows=", ".join(f"({i}, TIMESTAMP '{a}', TIMESTAMP '{b}')" for i, (a, b) in enumerate(RETRAIN_WINDOWS, 1)),
+    end=RETRAIN_WINDOWS[-1][1],
+)
+
+
+@query("q11_retrain_job", RETRAIN_SQL)
 def _(t):
-    """Refit on newer rows, validate in price space, keep the old version, publish and log."""
-    from granary.models.retrain import retrain
+    """Three attempts on a moving window: newer rows are added to the stored statistics, old ones subtracted."""
+    from granary.models.retrain import registry, retrain
     from granary.session import fresh_path
 
-    train = t.lineitem.withColumn("log_price", F.log1p("l_extendedprice"))
-    cut = F.col("l_shipdate") < F.lit("2000-07-01").cast("timestamp_ntz")
-    return retrain(
-        train.where(cut), train.where(~cut), ["l_quantity", "l_discount", "l_tax"], "log_price", fresh_path(t.spark, "models"), ["v0001", "v0002"]
+    rows = t.lineitem.withColumn("log_price", F.log1p("l_extendedprice"))
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    between = lambda a, b: rows.where((F.col("l_shipdate") >= day(a)) & (F.col("l_shipdate") < day(b)))
+    root = fresh_path(t.spark, "models")
+    valid = rows.where(F.col("l_shipdate") >= day(RETRAIN_WINDOWS[-1][1]))
+    first, end = RETRAIN_WINDOWS[0]
+    retrain(root, between(first, end), valid, ["l_quantity"], "log_price")
+    for a, b in RETRAIN_WINDOWS[1:]:
+        retrain(root, between(end, b), valid, ["l_quantity"], "log_price", removed=between(first, a))
+        first, end = a, b
+    fitted = lambda path: F.get_json_object("record", path).cast("double")
+    return registry(t.spark, root).select(
+        "version",
+        "n_rows",
+        F.round(fitted("$.weights[0]"), 7).alias("weight"),
+        F.round(fitted("$.intercept"), 7).alias("intercept"),
+        F.round("rmse", 3).alias("rmse"),
+        F.round("previous_rmse", 3).alias("previous_rmse"),
+        F.col("published").cast("int").alias("published"),
     )
 
 

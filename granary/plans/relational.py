@@ -52,7 +52,9 @@ def _(t):
 )
 def _(t):
     named = t.documents.select("source", F.format_string("%d.txt", "doc_id").alias("name"), "text")
-    members = archives.unpack(archives.pack(named, "source", "name", "text", kind="bz2"))
+    root = fresh_path(t.spark, "archives")
+    archives.write_files(archives.pack(named, "source", "name", "text", kind="bz2"), root, "path", "content")
+    members = archives.read_archives(t.spark, root)
     return members.groupBy(F.element_at(F.split("member", "/"), 1).alias("folder")).agg(
         F.count("*").alias("n_files"), F.sum(F.length(F.col("content").cast("string"))).alias("n_chars")
     )
@@ -71,9 +73,11 @@ def _(t):
        WHERE length('mail-' || doc_id || '.' || source || '.txt') > 17 GROUP BY 1""",
 )
 def _(t):
-    named = t.documents.select("lang", F.format_string("mail-%d.%s.txt", "doc_id", "source").alias("name"), "text")
-    docs = archives.member_documents(archives.unpack(archives.pack(named, "lang", "name", "text")), min_name=17)
-    return docs.groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    path = F.format_string("%s/mail-%d.%s.txt", "lang", "doc_id", "source")
+    root = fresh_path(t.spark, "mails")
+    archives.write_files(t.documents.select(path.alias("path"), "text"), root, "path", "text")
+    docs = archives.read_documents(t.spark, root, min_name=17)
+    return docs.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 LOG = T.StructType(

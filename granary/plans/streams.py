@@ -24,11 +24,14 @@ def _(t):
 
 
 WINDOW_SQL = """SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(score), 8) AS mean, round(stddev_pop(score), 8) AS std, round(avg((score >= 8.32)::INT), 9) AS flag_rate
-  FROM (SELECT {start} AS start, score, max(ts) OVER () AS latest FROM {src}{extra}) WHERE start + INTERVAL {length} <= latest - INTERVAL 10 MINUTE GROUP BY start"""
+  FROM (SELECT {start} AS start, score FROM {src}{extra}) GROUP BY start"""
 
 
-def window_rows(stream):
-    out = jobs.run_to_table(stream)
+def window_rows(t, length, slide):
+    def build(feed):
+        return jobs.windowed_statistics(feed, "ts", "score", F.col("score") >= 8.32, length, slide, None)
+
+    out = jobs.run_and_close(scored_feed(t), "ts", build, length, "10 minutes")
     return out.select(
         F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"),
         "n",
@@ -38,19 +41,17 @@ def window_rows(stream):
     )
 
 
-@query("q13_tumbling_statistics", WINDOW_SQL.format(start="date_trunc('hour', ts)", src=SCORED_SQL, extra="", length="1 HOUR"))
+@query("q13_tumbling_statistics", WINDOW_SQL.format(start="date_trunc('hour', ts)", src=SCORED_SQL, extra=""))
 def _(t):
-    feed = scored_feed(t)
-    return window_rows(jobs.windowed_statistics(feed, "ts", "score", F.col("score") >= 8.32, "1 hour", None, "10 minutes"))
+    return window_rows(t, "1 hour", None)
 
 
 @query(
     "q13_sliding_statistics",
-    WINDOW_SQL.format(start="date_trunc('hour', ts) - INTERVAL 1 HOUR * k", src=SCORED_SQL, extra=", (SELECT unnest([0, 1]) AS k)", length="2 HOUR"),
+    WINDOW_SQL.format(start="date_trunc('hour', ts) - INTERVAL 1 HOUR * k", src=SCORED_SQL, extra=", (SELECT unnest([0, 1]) AS k)"),
 )
 def _(t):
-    feed = scored_feed(t)
-    return window_rows(jobs.windowed_statistics(feed, "ts", "score", F.col("score") >= 8.32, "2 hours", "1 hour", "10 minutes"))
+    return window_rows(t, "2 hours", "1 hour")
 
 
 @query(
@@ -63,17 +64,31 @@ def _(t):
     return out.select("user_id", "event_id", "value")
 
 
-@query("q6_online_learning")
-@query("m27_online_ridge")
-def _(t):
-    feed = jobs.event_feed(t.spark, jobs.spread_feed(t.events, "ts", 4), files_per_batch=1)
-    x = feed.select(
+def learning_rows(df):
+    return df.select(
         "event_id",
         (F.get_json_object("props", "$.k").cast("double") / 50 - 1).alias("x1"),
         (F.hour("ts") / 12 - 1).alias("x2"),
         (F.col("value") / 50 + F.get_json_object("props", "$.k").cast("double") / 25).alias("y"),
     )
-    out = jobs.online_ridge(x, ["x1", "x2"], "y", rate=0.2)
+
+
+@query("q6_online_learning")
+def _(t):
+    """Learning curve: every 10th event is held out, the others are learned; scores after every 8 updates."""
+    aside = F.col("event_id") % 10 == 0
+    feed = jobs.event_feed(t.spark, jobs.spread_feed(t.events.where(~aside), "ts", 4), files_per_batch=1)
+    holdout = learning_rows(t.events.where(aside))
+    learned = jobs.online_ridge(
+        learning_rows(feed), ["x1", "x2"], "y", rate=0.2, warn_below=0.8, order=["event_id"], evaluate_every=8, holdout=holdout
+    )
+    return jobs.evaluations(learned)
+
+
+@query("m27_online_ridge")
+def _(t):
+    feed = jobs.event_feed(t.spark, jobs.spread_feed(t.events, "ts", 4), files_per_batch=1)
+    out = jobs.online_ridge(learning_rows(feed), ["x1", "x2"], "y", rate=0.2)
     names = [F.round(F.get("weights", F.lit(i)), 6).alias(n) for i, n in enumerate(("intercept", "w1", "w2"))]
     return out.select("batch", "n", "updates", "rmse", "r2", "warning", *names)
 

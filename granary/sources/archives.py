@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBER_SCHEMA = "archive string, member string, content binary"
+MEMBER_TYPES = (pa.string(), pa.string(), pa.binary())
+MEMBER_BYTES = 4_000_000  # members that are handed on together
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,17 +48,92 @@ def unpack(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_members, MEMBER_SCHEMA)
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+
+
+def _streamed(path: str) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of the members, one at a time; tar files are read as a stream, zip files by their directory."""
+    files, at = _file_system(path)
+    with files.open_input_file(at) as f:
+        magic = f.read(4)
+    if magic[:2] == b"PK":
+        with files.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+            for info in z.infolist():
+                if not info.is_dir():
+                    yield info.filename, z.read(info)
+        return
+    with files.open_input_stream(at, compression=None) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
+        for info in tar:
+            if info.isfile():
+                yield info.name, tar.extractfile(info).read()
+
+
+def _stream_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["archive", "member", "content"]
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            held, size = [], 0
+            for name, content in _streamed(path):
+                held.append((path, name, content))
+                size += len(content)
+                if size > MEMBER_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), MEMBER_TYPES)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), MEMBER_TYPES)], names=names)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file inside zip / tar (gz, bz2, xz) archives; archives in parallel."""
-    return unpack(spark.read.format("binaryFile").load(path))
+    """One row per file inside zip / tar (gz, bz2, xz) archives; archives in parallel.
+
+    Spark lists the archives; a task then streams one member after the other
+    from the store, so no archive is held as a whole. In a store that only
+    Spark can open, archives are read as binary rows instead.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    try:
+        _file_system(path)
+    except (ValueError, OSError):
+        return unpack(files)
+    return files.select("path").mapInArrow(_stream_members, MEMBER_SCHEMA)
+
+
+def write_files(df: DataFrame, root: str, path: str, content: str) -> int:
+    """Writes the column ``content`` of every row (text or binary) to the file ``root``/``path``; returns their number.
+
+    Each file gets its name when it is complete, so a reader never meets half a
+    file, and a repeated task writes the same file again. ``root`` is shared
+    storage that Arrow can open. A null content is an empty file.
+    """
+
+    def run(batches):
+        files, at = _file_system(root)
+        made: set[str] = set()
+        n = 0
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{at}/{name}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(part, compression=None) as f:
+                    f.write(data or b"")
+                files.move(part, target)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows = df.select(F.col(path).cast("string"), F.col(content).cast("binary"))
+    return int(rows.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0)
 
 
 def pack(df: DataFrame, folder: str, name: str, text: str, per_archive: int = 64, kind: str = "gz") -> DataFrame:
     """Text rows -> rows (path, content) of compressed archives, a few files in each."""
 
     def blobs(batches):
-        from uuid import uuid4
-
         for batch in batches:
             for start in range(0, len(batch), per_archive):
                 part = batch.iloc[start : start + per_archive]
@@ -68,7 +149,10 @@ def pack(df: DataFrame, folder: str, name: str, text: str, per_archive: int = 64
                             info = tarfile.TarInfo(f"{f}/{n}")
                             info.size = len(data)
                             tar.addfile(info, io.BytesIO(data))
-                yield pd.DataFrame({"path": [f"{uuid4().hex}.{kind}"], "content": [buf.getvalue()]})
+                # named by what is in it: a repeated task makes the same files
+                held = "\n".join(f"{f}/{n}" for f, n in zip(part["folder"], part["name"], strict=True))
+                name = hashlib.md5(held.encode("utf-8")).hexdigest()
+                yield pd.DataFrame({"path": [f"{name}.{kind}"], "content": [buf.getvalue()]})
 
     rows = df.select(F.col(folder).alias("folder"), F.col(name).alias("name"), F.col(text).alias("text"))
     return rows.mapInPandas(blobs, "path string, content binary")
@@ -108,7 +192,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, min_name: int = 20) -> DataFrame:
-    """One row per file whose name is longer than ``min_name`` characters."""
+    """One row per file whose name is longer than ``min_name`` characters; Spark does not list empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(F.length(name) > min_name).select(

@@ -115,7 +115,7 @@ def test_gradient_methods_approach_least_squares(spark):
     batches = sgd.batch_moments(df, cols, "y", ["id"], 8, 1)
     assert sum(b.n for b in batches.values()) == len(y)
     np.testing.assert_allclose(sgd.mini_batch(batches, 0.1, 60, 1).weights, w, atol=0.1)
-    np.testing.assert_allclose(sgd.averaged_sgd(df, cols, "y", 0.05, 8, 1).weights, w, atol=0.2)
+    np.testing.assert_allclose(sgd.averaged_sgd(df, cols, "y", ["id"], 0.05, 8, 1).weights, w, atol=0.2)
 
 
 def test_schedules():
