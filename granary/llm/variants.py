@@ -29,11 +29,11 @@ SLIP = 199  # one run in so many has a letter deleted
 LEAST_LENGTH = 6
 LEAST_COUNT = 5
 RATIO = 5
-SUBTREE = 50_000  # words of a subtree at most, unless their counts are all equal
-BLOCK = 200_000  # searching words of a task
+SUBTREE = 30_000  # words of a subtree at most, unless their counts are all equal
+BLOCK = 60_000  # searching words of a task
 COUNTED = 300_000  # distinct words a task adds up before it hands them on
 _SMALL_LEAF = 4
-_FRONTIER = 1_000_000
+_FRONTIER = 150_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
