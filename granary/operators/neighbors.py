@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import col
+from granary.operators.ranking import default_buckets
 from granary.session import materialize
 
 BLOCK_ROWS = 4096
@@ -153,9 +154,12 @@ def nearest(
         return pd.DataFrame(dict(zip(("qid", "id", "d", "y"), cols, strict=True)))
 
     keys = ["cell", "rb", "qb"]
+    # little data, much work: a stated number of partitions is not merged into few
+    tasks = max(default_buckets(rows), 3 * rows.sparkSession.sparkContext.defaultParallelism)
     found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        left.repartition(tasks, *keys)
+        .groupBy(*keys)
+        .cogroup(right.repartition(tasks, *keys).groupBy(*keys))
         .applyInPandas(compare, "qid long, id long, d double, y double")
     )
     best = Window.partitionBy("qid").orderBy("d", "id")

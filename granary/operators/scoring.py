@@ -88,6 +88,25 @@ def explain(amount, hour, amount_to_median, signals: Sequence[tuple[Column, Colu
     return F.when(text == "", "combination of behavioral features").otherwise(text)
 
 
+def anomaly_signals(v17, v14, v12) -> list[tuple[Column, Column]]:
+    """Tests and texts of the three strongest components, for ``explain``."""
+    shown = lambda name, c, text: F.concat(F.lit(f"{name} anomaly ("), F.format_string("%.2f", col(c).cast("double")), F.lit(text))
+    # fixed values: limits and texts
+    return [
+        (col(v17) < -2.0, shown("V17", v17, ") \u2014 strong fraud signal")),
+        (col(v14) < -5.0, shown("V14", v14, ") \u2014 strong fraud signal")),
+        (F.abs(col(v12)) > 3.0, shown("V12", v12, ")")),
+    ]
+
+
+def verdict(score, threshold: float, reasons: Column) -> Column:
+    """Verdict, score against threshold, and the reasons, in one line."""
+    # fixed values: texts
+    said = F.when(col(score) >= threshold, "FLAGGED AS FRAUD").otherwise("Approved")
+    against = F.concat(F.lit("risk score "), F.format_string("%.2f", col(score).cast("double")), F.lit(f" vs threshold {threshold:.2f}"))
+    return F.concat_ws(" | ", said, against, F.concat(F.lit("Signals: "), reasons))
+
+
 def similar_rows(df: DataFrame, key: str, key_value, cols: Sequence[str], n: int) -> DataFrame:
     """n rows nearest to one row: sum of |difference| / range over non-null columns.
 

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import col
-from granary.operators.ranking import sorted_positions
+from granary.operators.ranking import default_buckets, sorted_positions
 from granary.session import materialize
 
 CELLS = 8192  # boxes that every searching task holds
-CELL_ROWS = 1024
-TILE_ROWS = 128
+CELL_ROWS = 256
+TILE_ROWS = 64
 QUERY_ROWS = 4096
 _BITS = 8  # of a feature's place in the z-order
 
@@ -123,11 +123,10 @@ def nearest_by_common(asked: DataFrame, table: DataFrame, key: str, given: dict[
     scale = [given[c] / (dev[i] or 1.0) for i, c in enumerate(names)]
     least = Window.partitionBy("v").orderBy("id")
     rows = _vectors(table, key, names, scale).withColumn("_rn", F.row_number().over(least)).where(F.col("_rn") <= n).drop("_rn")
-    rows = _z_order(materialize(rows, "similar-rows"), p)
-    placed = sorted_positions(rows, ["mask", "z", "id"], "_at")
-    total = placed.count()
-    size = max(CELL_ROWS, -(-total // CELLS))
-    cells = materialize(placed.withColumn("cell", F.floor(F.col("_at") / size)), "similar-cells")
+    rows = materialize(rows, "similar-rows")
+    size = max(CELL_ROWS, -(-rows.count() // CELLS))
+    placed = sorted_positions(_z_order(rows, p), ["mask", "z", "id"], "_at")  # a written table
+    cells = placed.withColumn("cell", F.floor(F.col("_at") / size))
     # at most CELLS boxes, and one more for every set of features
     ends = [f(F.col("v")[i]).alias(f"{m}{i}") for m, f in (("a", F.min), ("b", F.max)) for i in range(p)]
     boxes = cells.groupBy("mask", "cell").agg(F.count("*").alias("n"), *ends).orderBy("mask", "cell").collect()
@@ -178,7 +177,9 @@ def nearest_by_common(asked: DataFrame, table: DataFrame, key: str, given: dict[
         q, i, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
         return pa.table({"qid": pa.array(qid[q]), "id": pa.array(i), "d": pa.array(d, pa.float64())})
 
-    found = left.union(right).groupBy("box", "block").applyInArrow(compare, "qid long, id long, d double")
+    # little data, much work: a stated number of partitions is not merged into few
+    tasks = max(default_buckets(table), 3 * spark.sparkContext.defaultParallelism)
+    found = left.union(right).repartition(tasks, "box", "block").groupBy("box", "block").applyInArrow(compare, "qid long, id long, d double")
     top = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).where(F.col("rank") <= n)
     same = wanted.distinct().join(groups, "v").select("q", "qid")
     return same.join(top, "qid").select(F.col("q").alias(key), "rank", F.col("id").alias("neighbor"))

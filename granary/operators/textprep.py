@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import col
 from granary.functions.stem import stem
 from granary.functions.text import clean_words, html_to_text, words
-from granary.session import fill_cores
+from granary.session import fill_cores, materialize, sized
 
 # ------------------------------------------------------------ mails
 
@@ -115,7 +115,9 @@ def merge_stems(counts: DataFrame, key: str) -> DataFrame:
     def stems(s: pd.Series) -> pd.Series:
         return s.map(stem)
 
-    table = counts.select("term").distinct().select("term", stems("term").alias("stem"))
+    counts = materialize(counts, "counts")
+    # one row per distinct term, written: joined by broadcast only while it is small
+    table = sized(counts.select("term").distinct().select("term", stems("term").alias("stem")), "stems")
     return counts.join(table, "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
 
 
@@ -135,21 +137,32 @@ def index_counts(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(key, F.coalesce("index", F.lit(0)).alias("index")).agg(F.sum("n").alias("n"))
 
 
-def sparse_vectors(indexed: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, features): vectors of width size + 1; a row holds at most that many entries."""
+def _repeated(indexed: DataFrame, key: str) -> DataFrame:
+    """(key, tokens): every index as text, as often as it was counted."""
+    entries = F.sort_array(F.collect_list(F.struct("index", "n")))
+    rows = indexed.groupBy(key).agg(entries.alias("e"))
+    tokens = F.flatten(F.transform("e", lambda e: F.array_repeat(e["index"].cast("string"), e["n"].cast("int"))))
+    return rows.select(key, tokens.alias("tokens"))
 
-    @F.udf(VectorUDT())
-    def build(entries):
-        return Vectors.sparse(size + 1, [(int(e["index"]), float(e["n"])) for e in entries])
 
-    entries = F.sort_array(F.collect_list(F.struct("index", "n")))
-    return indexed.groupBy(key).agg(entries.alias("e")).select(key, build("e").alias("features"))
+def _counted(rows: DataFrame, size: int) -> DataFrame:
+    """Adds features, the counts of the tokens "0" to ``size``."""
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(size + 1)], inputCol="tokens", outputCol="features")
+    return model.transform(rows).drop("tokens")
+
+
+def sparse_vectors(indexed: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, features): vectors of width size + 1; a row holds at most that many entries."""
+    return _counted(_repeated(indexed, key), size)
 
 
 def text_vectors(df: DataFrame, key: str, text: str, size: int, train: Sequence | None = None) -> DataFrame:
-    """Whole chain; the vocabulary comes from the rows where ``train`` holds."""
-    counts = merge_stems(word_counts(df, key, text), key)
+    """Whole chain; the vocabulary comes from the rows where ``train`` holds.
+
+    Texts are cleaned and split once, into a written table of counts.
+    """
+    counts = materialize(merge_stems(word_counts(df, key, text), key), "stemmed")
     basis = counts if train is None else counts.join(df.where(train).select(key), key, "left_semi")
-    vectors = sparse_vectors(index_counts(counts, vocabulary(basis, size), key), key, size)
-    empty = F.udf(lambda: Vectors.sparse(size + 1, []), VectorUDT())
-    return df.join(vectors, key, "left").withColumn("features", F.coalesce("features", empty()))
+    tokens = _repeated(index_counts(counts, sized(vocabulary(basis, size), "vocabulary"), key), key)
+    none = F.array().cast("array<string>")
+    return _counted(df.join(tokens, key, "left").withColumn("tokens", F.coalesce("tokens", none)), size)

@@ -12,7 +12,7 @@ from granary.operators.profile import histogram
 from granary.operators.quantiles import quantile_row
 from granary.operators.scale import StandardScaler
 from granary.operators.split import hash_fold, with_class_weights
-from granary.plans.common import LINE_KEY, SCORED_SQL, scored_events
+from granary.plans.common import LINE_KEY, LINE_NULLS_SQL, SCORED_SQL, line_nulls, scored_events
 from granary.plans.registry import query
 from granary.session import materialize
 
@@ -788,18 +788,31 @@ def svm_rows(t):
     return with_vector(t.embeddings.withColumn("y", (F.col("label") >= 5).cast("int")), "embedding")
 
 
+def written(df, rows_per_task=50_000):
+    """Training rows written once, in as few partitions as hold them: every step of a fit is a job over them."""
+    df = materialize(df, "training")
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+
+
+def apart(df, key, folds=5):
+    """Training rows and held-out rows (one fold)."""
+    df = written(df.withColumn("fold", hash_fold([key], folds, 42)))
+    return df.where("fold <> 0"), df.where("fold = 0")
+
+
 @query("m14_linear_svm")
 def _(t):
+    """Support vectors of a margin classifier: training rows on or inside the margin."""
     from granary.models.spark_ml import linear_svm, margin_count
 
-    df = svm_rows(t)
+    df = written(svm_rows(t).select("y", "features"))
     model = linear_svm(1.0, df.count(), labelCol="y").fit(df)
     return margin_count(model.transform(df), "y")
 
 
 @query("m15_balanced_svm")
 def _(t):
-    """Balanced classifier of toxic documents from simple text measures."""
+    """Balanced classifier of toxic documents from simple text measures, reported on held-out rows."""
     from pyspark.ml.feature import VectorAssembler
 
     from granary.models.spark_ml import linear_svm
@@ -808,31 +821,39 @@ def _(t):
         "doc_id",
         "toxic",
         F.log1p("n_chars").alias("a"),
-        (F.length("text") - F.length(F.regexp_replace("text", "[0-9]", ""))).cast("double").alias("b"),
-        F.size(F.split("text", r"\s+")).cast("double").alias("c"),
+        F.log1p(F.regexp_count("text", F.lit("[0-9]"))).alias("b"),
+        F.log1p(F.regexp_count("text", F.lit(r"\S+"))).alias("c"),
     )
-    d = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(with_class_weights(d, "toxic"))
-    model = linear_svm(1.0, d.count(), "weight", labelCol="toxic", maxIter=50).fit(d)
-    return E.binary_report(model.transform(d), "toxic", "prediction")
+    names = ["a", "b", "c"]
+    train, held = apart(d, "doc_id")  # texts are read once; scaling and fitting see three numbers
+    scaler = StandardScaler.fit(train, names)
+    vector = VectorAssembler(inputCols=names, outputCol="features")
+    ready = lambda rows: vector.transform(scaler.transform(rows))
+    fit_rows = written(ready(with_class_weights(train, "toxic")).select("toxic", "weight", "features"))
+    model = linear_svm(1.0, fit_rows.count(), "weight", labelCol="toxic", maxIter=50).fit(fit_rows)
+    return E.binary_report(model.transform(ready(held)), "toxic", "prediction")
 
 
 @query("m17_random_kernel_features")
 def _(t):
+    """Random kernel features, made once, and a linear classifier on them, reported on held-out rows."""
     from granary.models.spark_ml import linear_svm, with_vector
 
     df = t.embeddings.withColumn("y", (F.col("label") >= 5).cast("int"))
     df = with_vector(df.withColumn("z", kernels.random_features("embedding", 64, 512, 1.0, 42)), "z")
-    model = linear_svm(10.0, df.count(), labelCol="y", maxIter=50).fit(df)
-    return E.auc_roc(with_score(model.transform(df)), "score", "y")
+    train, held = apart(df.select("vec_id", "y", "features"), "vec_id")
+    model = linear_svm(10.0, train.count(), labelCol="y", maxIter=50).fit(train)
+    return E.auc_roc(with_score(model.transform(held)), "score", "y")
 
 
 @query("m19_linear_classifier")
 def _(t):
+    """Scores of held-out rows."""
     from granary.models.spark_ml import linear_svm
 
-    df = svm_rows(t)
-    model = linear_svm(0.1, df.count(), labelCol="y", maxIter=20).fit(df)
-    return with_score(model.transform(df)).select("vec_id", "y", "score", "prediction")
+    train, held = apart(svm_rows(t).select("vec_id", "y", "features"), "vec_id")
+    model = linear_svm(0.1, train.count(), labelCol="y", maxIter=20).fit(train)
+    return with_score(model.transform(held)).select("vec_id", "y", "score", "prediction")
 
 
 @query("m22_trees")
@@ -855,11 +876,12 @@ def _(t):
 
 @query("m23_one_vs_rest")
 def _(t):
+    """Confusion of held-out rows."""
     from granary.models.spark_ml import one_vs_rest
 
-    df = svm_rows(t)
-    model = one_vs_rest(1.0, df.count(), "label").fit(df)
-    return E.confusion(model.transform(df).withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
+    train, held = apart(svm_rows(t).select("vec_id", "label", "features"), "vec_id")
+    model = one_vs_rest(1.0, train.count(), "label").fit(train)
+    return E.confusion(model.transform(held).withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
 
 
 @query("m24_kmeans")
@@ -874,20 +896,45 @@ def _(t):
 # ---------------------------------------------------------------- U composition
 
 
-@query("u1_stage_composition")
+STAGE_SQL = """SELECT '{name}' AS variant, round(corr(x, y) * corr(x, y), 6) AS r2, round(sqrt(var_pop(y) - pow(covar_pop(x, y), 2) / var_pop(x)), 2) AS rmse,
+  round(avg({shown}), 6) AS mean_input FROM (SELECT {x} AS x, l_extendedprice::DOUBLE AS y FROM {src})"""
+
+
+@query(
+    "u1_stage_composition",
+    " UNION ALL ".join(
+        STAGE_SQL.format(name=name, x=x, shown=shown, src="(SELECT *, median(l_discount::DOUBLE) OVER () AS med FROM " + LINE_NULLS_SQL + ")")
+        for name, x, shown in (
+            ("scaled", "coalesce(l_discount, med)::DOUBLE", "0::DOUBLE"),
+            ("logged", "ln(1 + greatest(coalesce(l_discount, 0), 0)::DOUBLE)", "x"),
+        )
+    ),
+)
 def _(t):
-    """Named stages fitted in order, then scored."""
-    from pyspark.ml import Pipeline
+    """Named stages: fitted in order, one replaced, parameters set, the fitted front part used alone."""
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    from granary.models.spark_ml import column_transformer
-    from granary.plans.common import line_nulls
-
-    prep = column_transformer(median_scaled=["l_quantity", "l_discount"], one_hot=["l_returnflag"])
-    full = Pipeline(stages=[*prep.getStages(), LinearRegression(labelCol="l_extendedprice", regParam=1.0)])
-    df = line_nulls(t)
-    model = full.fit(df)
-    return E.regression_report(model.transform(df), "l_extendedprice", "prediction")
+    from granary.models.spark_ml import Log1pTransformer, MedianScale
+    from granary.models.stages import Stages
+
+    stages = Stages(
+        [
+            ("prepare", MedianScale(["l_discount"])),
+            ("assemble", VectorAssembler(inputCols=["l_discount"], outputCol="features")),
+            ("model", LinearRegression(labelCol="l_extendedprice", regParam=10.0)),
+        ]
+    ).set_params(model__regParam=0.0)
+    df = line_nulls(t).withColumn("l_extendedprice", F.col("l_extendedprice").cast("double"))
+    known = df.withColumn("l_discount", F.coalesce("l_discount", F.lit(0.0)))
+    out = None
+    for name, rows, kind in (("scaled", df, stages), ("logged", known, stages.replace("prepare", Log1pTransformer(["l_discount"])))):
+        fitted = kind.fit(rows)
+        report = E.regression_report(fitted.transform(rows), "l_extendedprice", "prediction").select(F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"))
+        shown = fitted[:"prepare"].transform(rows).agg((F.round(F.avg("l_discount"), 6) + 0.0).alias("mean_input"))
+        row = report.join(F.broadcast(shown)).select(F.lit(name).alias("variant"), "r2", "rmse", "mean_input")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("u6_custom_scorer", f"SELECT fold, round(quantile_cont(abs(y - p), 0.5), 5) AS median_error, round(max(abs(y - p)), 5) AS worst, round(avg((abs(y - p) <= 2000)::INT), 9) AS near FROM {REG} GROUP BY fold")

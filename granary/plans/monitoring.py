@@ -109,6 +109,32 @@ def _(t):
     return e.join(F.broadcast(m)).select("event_id", text.alias("explanation"))
 
 
+@query(
+    "p6_verdicts",
+    """WITH e AS (SELECT event_id, value * 4 AS amount, hour(ts) AS h, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, floor(value * CAST(0.5 AS DOUBLE) - length(event_type)) / 10 + 0 AS score FROM events),
+        v AS (SELECT *, k / 10.0::DOUBLE - 6 AS v17, k % 40 / 4.0::DOUBLE - 8 AS v14, k % 50 / 5.0::DOUBLE - 5 AS v12 FROM e),
+        x AS (SELECT event_id, score, concat_ws('; ', CASE WHEN amount < 1 THEN 'micro-transaction (' || printf('%.2f', amount) || ')' WHEN amount > 1000 THEN 'large amount (' || printf('%.2f', amount) || ')' END,
+          CASE WHEN h IN (2, 3, 4) THEN 'off-hours (hour ' || printf('%02d', h) || ')' END, CASE WHEN v17 < -2 THEN 'V17 anomaly (' || printf('%.2f', v17) || ') — strong fraud signal' END,
+          CASE WHEN v14 < -5 THEN 'V14 anomaly (' || printf('%.2f', v14) || ') — strong fraud signal' END, CASE WHEN abs(v12) > 3 THEN 'V12 anomaly (' || printf('%.2f', v12) || ')' END) AS s FROM v)
+       SELECT event_id, CASE WHEN score >= 8.32 THEN 'FLAGGED AS FRAUD' ELSE 'Approved' END || ' | risk score ' || printf('%.2f', score) || ' vs threshold 8.32 | Signals: '
+         || CASE WHEN s = '' THEN 'combination of behavioral features' ELSE s END AS verdict FROM x""",
+)
+def _(t):
+    """Verdict lines with the signals of three components, here made from the event's own number."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = scored_events(t).join(t.events.select("event_id", k.alias("k")), "event_id").select(
+        "event_id",
+        "score",
+        (F.col("value") * 4).alias("amount"),
+        F.hour("ts").alias("hour"),
+        (F.col("k") / 10.0 - 6).alias("v17"),
+        (F.col("k") % 40 / 4.0 - 8).alias("v14"),
+        (F.col("k") % 50 / 5.0 - 5).alias("v12"),
+    )
+    reasons = scoring.explain("amount", "hour", F.lit(0.0), scoring.anomaly_signals("v17", "v14", "v12"))
+    return e.select("event_id", scoring.verdict("score", 8.32, reasons).alias("verdict"))
+
+
 SIMILAR_SQL = """SELECT p_partkey, round(abs(s - p_size) / rs::DOUBLE + abs(r - p_retailprice) / rr, 9) AS distance FROM {src} p,
   (SELECT p_size AS s, p_retailprice AS r FROM {src} WHERE p_partkey = 7), (SELECT max(p_size) - min(p_size) AS rs, max(p_retailprice) - min(p_retailprice) AS rr FROM {src})
   WHERE p_partkey <> 7 ORDER BY distance, p_partkey LIMIT {n}"""

@@ -167,6 +167,24 @@ def _(t):
     )
 
 
+@query(
+    "a9_csv_payload",
+    """SELECT event_id, NULL::INT AS position, 'CSV header must include column: Time' AS error, NULL::DOUBLE AS amount FROM events WHERE event_type = 'click'
+       UNION ALL SELECT event_id, 1, CASE WHEN event_type = 'error' THEN 'Row 1: Amount is not a number' END, CASE WHEN event_type <> 'error' THEN value END FROM events WHERE event_type <> 'click'
+       UNION ALL SELECT event_id, 2, CASE WHEN event_type = 'view' THEN 'Row 2: not enough columns' END, CASE WHEN event_type <> 'view' THEN 0.0::DOUBLE END FROM events WHERE event_type <> 'click'""",
+)
+def _(t):
+    kind, v = F.col("event_type"), F.col("value").cast("string")
+    header = F.when(kind == "click", "Amount,V1").otherwise(" Time , Amount")
+    first = F.concat(F.lit("3600, "), F.when(kind == "error", "x12").otherwise(v))
+    second = F.when(kind == "view", "7200").otherwise("7200,")
+    bodies = t.events.select("event_id", F.concat_ws("\r\n", header, first, F.lit(""), second).alias("body"))
+    rows = payloads.explode_csv(bodies, "body", ["Amount", "Time"], ["event_id"])
+    amount = F.element_at("fields", "Amount")
+    amount = F.when(amount == "", 0.0).otherwise(amount.cast("double"))
+    return rows.select("event_id", "position", "error", amount.alias("amount"))
+
+
 @query("a10_model_save_load")
 def _(t):
     from pyspark.ml import Pipeline

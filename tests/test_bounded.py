@@ -239,3 +239,59 @@ def test_similar_rows_equal_all_pairs(spark, sizes, monkeypatch):
         assert got.get(i, []) == want, i
     assert similar.nearest_by_common(asked, df.limit(0), "k", given, 6).collect() == []
     assert similar.nearest_by_common(asked.limit(0), df, "k", given, 6).collect() == []
+
+
+# ---- named stages and CSV payloads
+
+
+def test_named_stages(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from granary.models.spark_ml import Log1pTransformer
+    from granary.models.stages import FittedStages, Stages
+
+    df = spark.createDataFrame([(float(i), 3.0 * np.log1p(i) + 1) for i in range(30)], "x double, y double")
+    stages = Stages(
+        [("log", Log1pTransformer(["x"])), ("vector", VectorAssembler(inputCols=["x"], outputCol="f")), ("fit", LinearRegression(featuresCol="f", labelCol="y"))]
+    )
+    assert stages.names == ["log", "vector", "fit"] and len(stages[:2]) == 2 and stages[-1] is stages["fit"]
+    assert stages["log":"vector"].names == stages[:-1].names == ["log", "vector"]
+    other = stages.set_params(fit__regParam=5.0)
+    assert other.get_params()["fit__regParam"] == 5.0 and stages.get_params()["fit__regParam"] == 0.0
+    fitted = stages.fit(df)
+    assert isinstance(fitted[:"vector"], FittedStages)
+    assert fitted[:"log"].transform(df).agg(F.max("x")).first()[0] == pytest.approx(np.log1p(29))
+    error = fitted.transform(df).agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0]
+    assert error < 1e-6
+    plain = stages.replace("log", Log1pTransformer([])).fit(df)
+    assert plain.transform(df).agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] > 0.5
+    for bad in (lambda: Stages([]), lambda: Stages([("a", stages[0]), ("a", stages[0])]), lambda: stages.set_params(fit__none=1)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(KeyError):
+        stages["none"]
+    with pytest.raises(TypeError):
+        Stages([("a", 1)])
+
+
+def test_csv_payloads(spark):
+    from granary.sources.payloads import explode_csv
+
+    bodies = ["A,B\n1,2\r\n\n3, 4 \n", "A\n1", "A,B", "", None, "B,A,A\n1,2,3\n1,2", "A,B\nx,1\n1,inf\n,7"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id long, body string")
+    got = [(r.id, r.position, r.fields, r.error) for r in explode_csv(df, "body", ["A", "B"], ["id"]).orderBy("id", "position").collect()]
+    none = "CSV needs a header row and at least one data row"
+    assert got == [
+        (0, 1, {"A": "1", "B": "2"}, None),
+        (0, 2, {"A": "3", "B": "4"}, None),
+        (1, None, None, "CSV header must include column: B"),
+        (2, None, None, none),
+        (3, None, None, none),
+        (4, None, None, none),
+        (5, 1, {"A": "3", "B": "1"}, None),
+        (5, 2, None, "Row 2: not enough columns"),
+        (6, 1, None, "Row 1: A is not a number"),
+        (6, 2, None, "Row 2: B is not a number"),
+        (6, 3, {"A": "", "B": "7"}, None),
+    ]
