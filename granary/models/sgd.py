@@ -22,6 +22,8 @@ from granary.models.linear import LinearModel, _with_bias
 from granary.operators.gram import Moments, moments, total
 from granary.operators.ranking import key_hash
 
+ROWS_PER_PART = 10_000
+
 # fixed values: learning rate at epoch t of T from start value r and decay d
 SCHEDULES: dict[str, Callable[[float, float, float, float], float]] = {
     "constant": lambda r, d, t, T: r,
@@ -97,10 +99,13 @@ def averaged_sgd(
     seed: int,
     schedule_name: str = "inverse",
     decay: float = 0.1,
-    parts: int = 64,
+    parts: int | None = None,
 ) -> LinearModel:
     """One row per step inside each of ``parts`` parts; row-weighted average after every epoch.
 
+    Without ``parts`` their number follows from that of the rows: one for
+    ``ROWS_PER_PART``, at least 8 and at most 4096.
+
     A row's part and its place in it come from the hash of its keys, so the
     weights depend neither on partitions nor on cores. A task steps through all
     of its parts at once, one row of each as one vector step. Rows with a null
@@ -109,6 +114,7 @@ def averaged_sgd(
     names = [*features, target]
     cells = [f"x{i}" for i in range(len(names))]
     rows = df.select(key_hash(keys, seed).alias("_h"), *[col(c).cast("double").alias(x) for c, x in zip(names, cells)]).dropna()
+    parts = parts or min(max(8, rows.count() // ROWS_PER_PART), 4096)
     part = (F.conv(F.substring("_h", 1, 7), 16, 10).cast("long") % parts).cast("int")
     rows = rows.withColumn("_p", part).repartition("_p").sortWithinPartitions("_h", *cells)
     rows = rows.select("_p", *cells).persist(StorageLevel.DISK_ONLY)  # sorted once; a lost part is sorted again

@@ -251,7 +251,7 @@ def test_named_stages(spark):
     from granary.models.spark_ml import Log1pTransformer
     from granary.models.stages import FittedStages, Stages
 
-    df = spark.createDataFrame([(float(i), 3.0 * np.log1p(i) + 1) for i in range(30)], "x double, y double")
+    df = spark.createDataFrame([(float(i), float(3.0 * np.log1p(i) + 1)) for i in range(30)], "x double, y double")
     stages = Stages(
         [("log", Log1pTransformer(["x"])), ("vector", VectorAssembler(inputCols=["x"], outputCol="f")), ("fit", LinearRegression(featuresCol="f", labelCol="y"))]
     )
