@@ -6,25 +6,28 @@ word then joins the class that fits the classes around its occurrences best:
 first by its neighbours in the core, then by all that have a class by now.
 Counts come from the whole training part of the corpus.
 
-Texts are coded once into blocks, each with its own short dictionary, so that
-what is shuffled by word is one row per block and distinct word, not one per
-token.
+Texts are coded once into blocks, each with its own short dictionary. Words are
+dealt into parts by a checksum; what is shuffled is one packed row per block
+and part, with one entry per word and context, not one per token, and what
+comes back is one byte per word.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import crc_mod, materialize, text_or_empty
+from granary.operators.ranking import default_buckets
 
-CORE = 2000  # most frequent words, clustered among themselves
+CORE = (2000, 1000, 5000)  # words clustered among themselves: one in 1000 distinct words, at least 2000, at most 5000
+WORDS_A_PART = 40_000  # distinct words that a task places at a time, about
 CLASSES = 48  # classes of words, at most 100; one more is that of the end of a text
 SWEEPS = 4
 BLOCK_TOKENS = 3_000_000
@@ -187,10 +190,12 @@ NONE = 255  # stands for the class of a word that has none yet
 
 
 def _contexts(codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, core: np.ndarray, own: np.ndarray):
-    """Training occurrences and contexts of a block's own words: counts, offsets and sorted context bytes.
+    """Training occurrences of a block's own words, and their contexts: word, context and how often, sorted.
 
     ``core``: classes of the core and of the end; ``own``: classes of the own
-    words, or NONE. The end stands on both sides of a text.
+    words, or NONE. A context is a class on one side; the end stands on both
+    sides of a text. A word has at most two contexts a class, however often it
+    occurs.
     """
     end, k = len(core) - 1, int(core.max()) + 1
     train = np.repeat(~held, lengths)
@@ -204,32 +209,40 @@ def _contexts(codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, core: np
     after[ends[full] - 1] = last
     rare = (codes >= end) & train
     local = codes[rare].astype(np.int64) - end
-    n = np.bincount(local, minlength=len(own)).astype(np.int32)
+    n = np.bincount(local, minlength=len(own))
     before, after = before[rare], after[rare]
-    # sorted contexts of a word take less room on disk
     keys = np.concatenate([local[before < k] << 8 | before[before < k], local[after < k] << 8 | (after[after < k] + k)])
-    keys.sort()
-    offsets = np.concatenate([[0], np.bincount(keys >> 8, minlength=len(own)).cumsum()]).astype(np.int32)
-    return n, offsets, (keys & 255).astype(np.uint8)
+    keys, times = np.unique(keys, return_counts=True)
+    return n, keys >> 8, (keys & 255).astype(np.uint8), times
 
 
-def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray) -> DataFrame:
-    """Blocks of texts: codes of their tokens and, for each word outside the core, its training contexts.
+def _small(v: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as one byte each; those of 255 and more stand in the second string."""
+    return np.minimum(v, 255).astype(np.uint8).tobytes(), v[v >= 255].astype(np.int64).tobytes()
+
+
+def _large(small: bytes, rest: bytes) -> np.ndarray:
+    v = np.frombuffer(small, np.uint8).astype(np.int64)
+    v[v == 255] = np.frombuffer(rest, np.int64)
+    return v
+
+
+BLOCK_FIELDS = ["block", "doc_id", "held_out", "size", "codes", "wide", "words"]
+
+
+def coded_blocks(marked: DataFrame, core: dict[bytes, int]) -> DataFrame:
+    """Blocks of texts: the codes of their tokens and the block's own words.
 
     Codes below the core's size are core words, those above number the block's
-    own words. A context is one byte of side and class, so words have strings
-    of contexts; here only neighbours in the core count, ``second_contexts``
-    adds the others.
+    own words, the frequent ones first; so most codes take two bytes, and the
+    others stand in ``wide``. Words are joined by line ends, which no word holds.
     """
-    shared = marked.sparkSession.sparkContext.broadcast((core, classes))
+    shared = marked.sparkSession.sparkContext.broadcast(core)
     kind = marked.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"block bigint, doc_id array<{kind}>, held_out array<boolean>, size array<int>, codes array<int>, "
-        "word array<binary>, n array<int>, context array<binary>"
-    )
+    schema = f"block bigint, doc_id array<{kind}>, held_out array<boolean>, size array<int>, codes binary, wide binary, words binary"
 
     def run(batches):
-        ids, cls = shared.value
+        ids = shared.value
         end = len(ids)
         own: dict[bytes, int] = {}
         docs: list = []
@@ -239,20 +252,23 @@ def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray)
 
         def out(id_type):
             codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            lengths = np.array([len(p) for p in parts], np.int32)
-            n, offsets, packed = _contexts(codes, lengths, np.array(held, bool), cls, np.full(len(own), NONE))
+            rare = codes >= end
+            order = np.argsort(-np.bincount(codes[rare] - end, minlength=len(own)), kind="stable")
+            rank = np.empty(len(own), np.int32)
+            rank[order] = np.arange(len(own))
+            codes[rare] = rank[codes[rare] - end] + end
+            named = list(own)
             row = {
                 "block": pa.array([uuid.uuid4().int >> 65], pa.int64()),
                 "doc_id": pa.array([docs], pa.list_(id_type)),
                 "held_out": pa.array([held], pa.list_(pa.bool_())),
-                "size": _one(pa.array(lengths)),
-                "codes": _one(pa.array(codes.astype(np.int32))),
-                "word": _one(pa.array(list(own), pa.binary())),
-                "n": _one(pa.array(n)),
-                "context": _one(_strings(offsets, packed)),
+                "size": pa.array([np.array([len(p) for p in parts], np.int32)], pa.list_(pa.int32())),
+                "codes": pa.array([np.minimum(codes, 65535).astype(np.uint16).tobytes()], pa.binary()),
+                "wide": pa.array([codes[codes >= 65535].astype(np.int32).tobytes()], pa.binary()),
+                "words": pa.array([b"\n".join([named[i] for i in order])], pa.binary()),
             }
             own.clear(), docs.clear(), held.clear(), parts.clear()
-            return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+            return pa.RecordBatch.from_arrays([row[f] for f in BLOCK_FIELDS], names=BLOCK_FIELDS)
 
         id_type = None
         for b in batches:
@@ -280,114 +296,148 @@ def coded_blocks(marked: DataFrame, core: dict[bytes, int], classes: np.ndarray)
     return marked.mapInArrow(run, schema)
 
 
-def _one(values: pa.Array) -> pa.Array:
-    """The values as a list column of one row."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
+class _Block:
+    """One row of the blocks: its codes, texts and own words, and the order of the words by part."""
+
+    def __init__(self, b: pa.RecordBatch, r: int, parts: int):
+        self.block = b.column("block")[r].as_py()
+        self.codes = np.frombuffer(b.column("codes")[r].as_py(), np.uint16).astype(np.int32)
+        self.codes[self.codes == 65535] = np.frombuffer(b.column("wide")[r].as_py(), np.int32)
+        self.size = b.column("size")[r].values.to_numpy()
+        self.held = b.column("held_out")[r].values.to_numpy(zero_copy_only=False).astype(bool)
+        raw = b.column("words")[r].as_py()
+        self.words = raw.split(b"\n") if raw else []
+        part = np.fromiter((zlib.crc32(w) % parts for w in self.words), np.int64, len(self.words))
+        self.order = np.argsort(part, kind="stable")
+        self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1))
+
+    def found(self, b: pa.RecordBatch, r: int, name: str, kind: type, missing: int) -> np.ndarray:
+        """What came back for the own words, part after part."""
+        out = np.full(len(self.words), missing, np.int64)
+        if b.column("found")[r].is_valid:
+            rows = sorted((f["part"], f[name]) for f in b.column("found")[r].as_py())
+            out[self.order] = np.concatenate([np.frombuffer(v, kind) for _, v in rows])
+        return out
+
+
+PART_SCHEMA = "part int, block bigint, words binary, n binary, n_more binary, many binary, context binary, times binary, times_more binary"
+PART_NAMES = [f.split()[0] for f in PART_SCHEMA.split(", ")]
+
+
+def _parts(block: _Block, core: np.ndarray, own: np.ndarray):
+    """Per part of the words: the block's words, their training occurrences and contexts, as one row."""
+    n, owner, context, times = _contexts(block.codes, block.size, block.held, core, own)
+    many = np.bincount(owner, minlength=len(own))
+    starts = np.cumsum(many) - many
+    moved = many[block.order]
+    upto = np.cumsum(moved)
+    at = np.repeat(starts[block.order] - (upto - moved), moved) + np.arange(len(context))
+    context, times = context[at], times[at]
+    upto = np.concatenate([[0], upto])
+    rows = []
+    for p in np.flatnonzero(np.diff(block.bounds)):
+        a, z = block.bounds[p], block.bounds[p + 1]
+        mine = block.order[a:z]
+        c = slice(upto[a], upto[z])
+        words = b"\n".join([block.words[i] for i in mine])
+        rows.append((p, block.block, words, *_small(n[mine]), many[mine].astype(np.uint8).tobytes(), context[c].tobytes(), *_small(times[c])))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=PART_NAMES)
+
+
+def first_contexts(blocks: DataFrame, classes: np.ndarray, parts: int) -> DataFrame:
+    """A row per block and part of the words, with the contexts that the core gives."""
+    shared = blocks.sparkSession.sparkContext.broadcast(classes)
 
-def _strings(offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(
-        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]
-    )
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                block = _Block(b, r, parts)
+                yield _parts(block, shared.value, np.full(len(block.words), NONE))
 
+    return blocks.mapInArrow(run, PART_SCHEMA)
 
-def placed_words(blocks: DataFrame, fit: np.ndarray, usual: int = NONE) -> DataFrame:
-    """(block, i, c, cls, id): count and class of every block's own words, and a number of the word.
 
-    Rows arrive sorted by word; only one word's counts and the places of its
-    blocks are held at a time. ``fit``: log probability of each (side and
-    class) context for each class. A word without any context has the class
-    ``usual``.
-    """
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("word", "n", "context")).alias("i", "w"))
-    rows = rows.select(F.col("w.word").alias("word"), "block", "i", F.col("w.n").alias("n"), F.col("w.context").alias("context"))
-    parts = rows.repartition("word").sortWithinPartitions("word")
-    shared = blocks.sparkSession.sparkContext.broadcast(fit)
+def second_contexts(blocks: DataFrame, words: DataFrame, classes: np.ndarray, parts: int) -> DataFrame:
+    """As ``first_contexts``, with the classes that the first pass gave to neighbours outside the core."""
+    shared = blocks.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
-        table = shared.value  # (contexts, classes)
-        first = TaskContext.get().partitionId() << 40  # number of the next word
-        held = []
-
-        def settle(b: pa.RecordBatch, open_end: bool):
-            """Finished words of a batch; the last one stays when more of it may follow."""
-            nonlocal held, first
-            word = b.column(0)
-            size = len(word)
-            new = np.ones(size, bool)
-            if size > 1:
-                new[1:] = pc.not_equal(word.slice(1), word.slice(0, size - 1)).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(new)
-            done = int(starts[-1]) if open_end else size
-            rest = b.slice(done)
-            held = [rest] if len(rest) else []
-            if not done:
-                return None
-            b = b.slice(0, done)
-            starts = starts[starts < done]
-            which = np.cumsum(new[:done]) - 1
-            count = np.bincount(which, b.column(3).to_numpy(), len(starts)).astype(np.int64)
-            context = b.column(4)
-            offsets = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1]
-            flat = np.frombuffer(context.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-            owner = np.repeat(which, np.diff(offsets))
-            score = np.zeros((len(starts), table.shape[1]))
-            for a in range(0, len(flat), 200_000):
-                z = slice(a, a + 200_000)
-                np.add.at(score, owner[z], table[flat[z]])
-            cls = score.argmax(1).astype(np.int32)
-            cls[np.bincount(owner, minlength=len(starts)) == 0] = usual
-            ids = pa.array(first + which)
-            first += len(starts)
-            return pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(2), pa.array(count[which]), pa.array(cls[which]), ids],
-                names=["block", "i", "c", "cls", "id"],
-            )
-
         for b in batches:
-            if not b.num_rows:
-                continue
-            whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0] if held else b
-            done = settle(whole, True)
-            if done is not None:
-                yield done
-        if held:
-            yield settle(held[0], False)
-
-    return parts.mapInArrow(run, "block bigint, i int, c bigint, cls int, id bigint")
+            for r in range(b.num_rows):
+                block = _Block(b, r, parts)
+                yield _parts(block, shared.value, block.found(b, r, "cls", np.uint8, NONE))
 
+    return _with_words(blocks, words).mapInArrow(run, PART_SCHEMA)
 
-def _with_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """The blocks' texts and what was found of their own words; both joins with blocks share one exchange of them."""
-    packed = words.groupBy("block").agg(F.collect_list(F.struct("i", "c", "cls", "id")).alias("found"))
-    rows = blocks.select("block", "doc_id", "held_out", "size", "codes", F.size("word").alias("own"))
-    return rows.join(packed, "block", "left").select(*rows.columns, *[F.col(f"found.{c}").alias(c) for c in ("i", "c", "cls", "id")])
 
+def placed_words(sent: DataFrame, parts: int, fit: np.ndarray, usual: int = NONE, counted: bool = False) -> DataFrame:
+    """(block, part, cls, c): class and count of the words of every row that was sent, in the order of that row.
 
-def second_contexts(blocks: DataFrame, words: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(block, word bigint, n, context) as of ``coded_blocks``, with the classes of neighbours outside the core."""
-    shared = blocks.sparkSession.sparkContext.broadcast(classes)
+    A task meets the rows of one part after another: the same words from all
+    blocks. It keeps one row of context counts per distinct word and, per
+    block, the numbers of its words. ``fit``: log probability of each (side and
+    class) context for each class. A word without any context has the class
+    ``usual``. Counts come only if ``counted``.
+    """
+    shared = sent.sparkSession.sparkContext.broadcast(fit)
+    names = ["block", "part", "cls", "c"]
 
     def run(batches):
-        core = shared.value
-        for b in batches:
-            for r in range(b.num_rows):
-                get = lambda name: b.column(name)[r].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                own = b.column("own")[r].as_py()
-                cls, ids = np.full(own, NONE, np.int64), np.zeros(own, np.int64)
-                if b.column("i")[r].is_valid:
-                    i = get("i")
-                    cls[i], ids[i] = get("cls"), get("id")
-                n, offsets, packed = _contexts(get("codes"), get("size"), get("held_out").astype(bool), core, cls)
+        table = shared.value  # (contexts, classes)
+        width = len(table)
+        part, ids, seen, total, blocks = None, {}, np.zeros((0, width)), np.zeros(0, np.int64), []
+
+        def grown(v: np.ndarray, n: int) -> np.ndarray:
+            return v if len(v) >= n else np.concatenate([v, np.zeros((max(n - len(v), len(v)), *v.shape[1:]), v.dtype)])
+
+        def settled():
+            score = seen[: len(ids)] @ table
+            cls = score.argmax(1).astype(np.uint8)
+            cls[seen[: len(ids)].sum(1) == 0] = usual
+            for at in range(0, len(blocks), 64):
+                some = blocks[at : at + 64]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("block").slice(r, 1), _one(pa.array(ids)), _one(pa.array(n)), _one(_strings(offsets, packed))],
-                    names=["block", "word", "n", "context"],
+                    [
+                        pa.array([b for b, _ in some], pa.int64()),
+                        pa.array([part] * len(some), pa.int32()),
+                        pa.array([cls[i].tobytes() for _, i in some], pa.binary()),
+                        pa.array([total[i].tobytes() if counted else None for _, i in some], pa.binary()),
+                    ],
+                    names=names,
                 )
 
-    return _with_words(blocks, words).mapInArrow(run, "block bigint, word array<bigint>, n array<int>, context array<binary>")
+        for b in batches:
+            for r in range(b.num_rows):
+                row = [c[r].as_py() for c in b.columns]
+                if row[0] != part:
+                    if blocks:
+                        yield from settled()
+                    part, ids, blocks = row[0], {}, []
+                    seen[:], total[:] = 0, 0
+                at = np.array([ids.setdefault(w, len(ids)) for w in row[2].split(b"\n")], np.int32)
+                seen, total = grown(seen, len(ids)), grown(total, len(ids))
+                total[at] += _large(row[3], row[4])
+                many = np.frombuffer(row[5], np.uint8)
+                # a word has one entry per context in a row
+                seen[np.repeat(at, many), np.frombuffer(row[6], np.uint8)] += _large(row[7], row[8])
+                blocks.append((row[1], at))
+        if blocks:
+            yield from settled()
+
+    rows = sent.repartition(parts, "part").sortWithinPartitions("part")
+    return rows.mapInArrow(run, "block bigint, part int, cls binary, c binary")
+
+
+def _with_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """The blocks and what was found of their own words; both joins with blocks share one exchange of them."""
+    packed = words.groupBy("block").agg(F.collect_list(F.struct("part", "cls", "c")).alias("found"))
+    return blocks.select(*BLOCK_FIELDS).join(packed, "block", "left")
 
 
-def classed_texts(blocks: DataFrame, words: DataFrame, core_counts: np.ndarray, classes: np.ndarray, total: int, distinct: int) -> DataFrame:
+def classed_texts(
+    blocks: DataFrame, words: DataFrame, core_counts: np.ndarray, classes: np.ndarray, total: int, distinct: int, parts: int
+) -> DataFrame:
     """One row per text: counts, base score, summed log10 word counts, and its sequence of classes.
 
     A word that training did not see has the class after the last.
@@ -401,18 +451,12 @@ def classed_texts(blocks: DataFrame, words: DataFrame, core_counts: np.ndarray,
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                get = lambda name: b.column(name)[r].values  # noqa: E731, B023
-                size = get("size").to_numpy()
-                codes = get("codes").to_numpy()
-                own = b.column("own")[r].as_py()
-                count = np.concatenate([core_counts[:-1].astype(np.int64), np.zeros(own, np.int64)])
-                cls = np.concatenate([classes[:-1], np.zeros(own, np.int64)])
-                if b.column("i")[r].is_valid:
-                    i = get("i").to_numpy() + len(core_counts) - 1
-                    count[i] = get("c").to_numpy()
-                    cls[i] = get("cls").to_numpy()
+                block = _Block(b, r, parts)
+                size = block.size
+                count = np.concatenate([core_counts[:-1].astype(np.int64), block.found(b, r, "c", np.int64, 0)])
+                cls = np.concatenate([classes[:-1], block.found(b, r, "cls", np.uint8, 0)])
                 cls[count == 0] = k
-                n, c = count[codes], cls[codes].astype(np.uint8)
+                n, c = count[block.codes], cls[block.codes].astype(np.uint8)
                 text = np.repeat(np.arange(len(size)), size)
                 fold = lambda v: np.bincount(text, v, len(size))  # noqa: E731, B023
                 base = fold(np.log10(n + 0.5)) + np.log10(end_count + 0.5) - (size + 1) * whole
@@ -422,8 +466,8 @@ def classed_texts(blocks: DataFrame, words: DataFrame, core_counts: np.ndarray,
                 raw = c.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        get("doc_id"),
-                        get("held_out"),
+                        b.column("doc_id")[r].values,
+                        b.column("held_out")[r].values,
                         pa.array(size.astype(np.int64) + 1),
                         pa.array(known),
                         pa.array(base),
@@ -483,7 +527,7 @@ def transition_table(between: np.ndarray, singles: float) -> np.ndarray:
     return out
 
 
-def class_scores(docs: DataFrame, core_words: int = CORE, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+def class_scores(docs: DataFrame, core_words: int | None = None, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
     ``score`` is the class model's log10 probability of the text and its end,
@@ -502,6 +546,8 @@ def class_scores(docs: DataFrame, core_words: int = CORE, classes: int = CLASSES
     facts = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("one")).first()
     ends = train.count()
     total, distinct = int(facts.n or 0) + ends, int(facts.v) + (ends > 0)
+    least, share, most = CORE  # the core's word pairs are held by the driver: at most ``most`` squared
+    core_words = core_words or min(max(least, distinct // share), most)
     top = counts.orderBy(F.desc("c"), "word").limit(core_words).toPandas()
     core = {bytes(w): i for i, w in enumerate(top.word)}
     core_counts = np.append(top.c.to_numpy(np.int64), ends)
@@ -515,11 +561,13 @@ def class_scores(docs: DataFrame, core_words: int = CORE, classes: int = CLASSES
     # context columns: class before a word of class c, class after it
     fit = np.vstack([_log_shares(between[:, :used]), _log_shares(between.T[:, :used])])
 
-    blocks = materialize(coded_blocks(marked, core, cls), "blocks")
+    blocks = materialize(coded_blocks(marked, core), "blocks")
     # what even then has no neighbour with a class joins the most frequent one
     usual = int(between[:, :used].sum(0).argmax())
-    words = placed_words(second_contexts(blocks, placed_words(blocks, fit), cls), fit, usual)
-    texts = materialize(classed_texts(blocks, words, core_counts, cls, total, distinct), "texts")
+    parts = max(default_buckets(docs), -(-distinct // WORDS_A_PART))
+    first = placed_words(first_contexts(blocks, cls, parts), parts, fit)
+    words = placed_words(second_contexts(blocks, first, cls, parts), parts, fit, usual, True)
+    texts = materialize(classed_texts(blocks, words, core_counts, cls, total, distinct, parts), "texts")
     table = transition_table(class_bigrams(texts, k), int(facts.one) / max(total, 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -111,6 +111,64 @@ def test_class_scores_base(tables, edge, nothing):
     assert brown.class_scores(nothing).count() == 0
 
 
+def plain_class_scores(texts, core_words, classes, sweeps):
+    """Class n-gram scores by loops over tokens."""
+    words = {i: t.encode().lower().split() for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
+    train = [ws for i, ws in words.items() if not held[i]]
+    counts = collections.Counter(w for ws in train for w in ws)
+    core = {w: j for j, (w, _) in enumerate(sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:core_words])}
+    end, used = len(core), min(classes, len(core))
+    pairs = collections.Counter()
+    for ws in train:
+        codes = [end, *[core.get(w) for w in ws], end]
+        pairs.update((a, b) for a, b in zip(codes, codes[1:]) if a is not None and b is not None)
+    x, y = np.array(sorted(pairs)).T
+    n = np.array([pairs[p] for p in sorted(pairs)], float)
+    cls = brown.exchange_classes(x, y, n, end, used, sweeps)
+    k = used + 1
+    between = np.zeros((k, k))
+    np.add.at(between, (cls[x], cls[y]), n)
+    fit = np.vstack([brown._log_shares(between[:, :used]), brown._log_shares(between.T[:, :used])])
+    named = {w: int(cls[j]) for w, j in core.items()}
+    usual = int(between[:, :used].sum(0).argmax())
+    for last in (False, True):
+        seen = collections.defaultdict(lambda: np.zeros(2 * k))
+        for ws in train:
+            c = [used, *[named.get(w) for w in ws], used]
+            for j, w in enumerate(ws, 1):
+                if w not in core:
+                    row = seen[w]
+                    for side, other in ((0, c[j - 1]), (k, c[j + 1])):
+                        if other is not None:
+                            row[side + other] += 1
+        placed = {w: int((row @ fit).argmax()) if row.any() else (usual if last else None) for w, row in seen.items()}
+        named = {**placed, **{w: int(cls[j]) for w, j in core.items()}}
+    steps = np.zeros((k + 1, k + 1))
+    sequence = lambda ws: [used, *[named[w] if w in counts else k for w in ws], used]
+    for ws in train:
+        c = sequence(ws)
+        np.add.at(steps, (c[:-1], c[1:]), 1)
+    total = sum(counts.values()) + len(train)
+    table = brown.transition_table(steps, sum(c == 1 for c in counts.values()) / total)
+    out = {}
+    for i, ws in words.items():
+        c = sequence(ws)
+        out[i] = table[c[:-1], c[1:]].sum() + sum(math.log10(max(counts[w], 1)) for w in ws) + math.log10(len(train))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [3_000_000, 500])
+def test_class_scores_equal_plain(tables, monkeypatch, blocks):
+    monkeypatch.setattr(brown, "BLOCK_TOKENS", blocks)
+    monkeypatch.setattr(brown, "WORDS_A_PART", 3_000_000 if blocks > 500 else 700)
+    docs = tables.documents.repartition(3)
+    want = plain_class_scores({r.doc_id: r.text for r in tables.documents.collect()}, 60, 7, 2)
+    got = {r.doc_id: r.score for r in brown.class_scores(docs, 60, 7, 2).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
 def test_transitions_sum_to_one():
     between = np.zeros((4, 4))
     between[:3, :3] = [[5, 1, 2], [0, 0, 0], [3, 1, 0]]
