@@ -129,3 +129,64 @@ def test_models_do_not_share_a_codec(tmp_path):
     other.write_bytes(model.SerializeToString())
     a, b = (pieces.codec_of(pieces.Vocabulary(str(x))) for x in (first, other))
     assert a is not b
+
+
+def test_pipeline_equals_plain_stages(spark, tables):
+    """Every stage of the pipeline on what its predecessor kept, against plain versions."""
+    import hashlib
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+
+    import corpus_pipeline
+    from granary.llm import curriculum, quality
+
+    folder = "/root/testdata/sf0.001"
+    docs = tables.documents
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "private_data", "mix", "encode"]
+    kept = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    forest = quality.train(docs, tables.labels)
+    texts = kept(docs)
+    scores = forest.score(np.array([quality.text_statistics(t or "") for t in texts.values()], float))
+    good = {i: t for (i, t), s in zip(texts.items(), scores) if s >= quality.THRESHOLD}
+    first = stages["quality"](spark, docs, folder)
+    assert kept(first) == good and 0 < len(good) < len(texts)
+
+    seqs = {i: order_minhash.occurrence_labelled(order_minhash.shingle_hashes(t)) for i, t in good.items()}
+    root = {i: i for i in seqs}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(seqs):
+        for j in sorted(seqs):
+            if i < j and len(seqs[i]) and len(seqs[j]) and order_minhash.aligned(seqs[i], seqs[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    alone = {i: t for i, t in good.items() if top(i) == i}
+    second = stages["near_duplicates"](spark, first, folder)
+    assert kept(second) == alone
+
+    third = stages["private_data"](spark, second, folder)
+    clean = {}
+    for r in private.private_spans(second).collect():
+        found = [(s.start, s.end, s.kind) for k in (*private.KINDS, private.EXTRA) for s in r[k]]
+        clean[r.doc_id] = plain_redacted(alone[r.doc_id], found)
+    assert kept(third) == clean and clean != alone
+
+    fourth = stages["mix"](spark, third, folder)
+    copies = {r.doc_id: r.copies for r in curriculum.training_plan(third).collect()}
+    assert Counter(r.doc_id for r in fourth.collect()) == Counter({i: n for i, n in copies.items() if n})
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter()
+    for i, n in copies.items():
+        ids = lib.encode(clean[i])
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()] += n
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, folder).collect())
+    assert got == +want
