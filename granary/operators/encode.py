@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def categories_of(df: DataFrame, c: str) -> list[str]:
     """Sorted categories for a wide encoding (its columns are part of the schema)."""
     rows = df.select(col(c).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(WIDE_LIMIT + 1).collect()
     if len(rows) > WIDE_LIMIT:
-        raise ValueError(f"{c} has more than {WIDE_LIMIT} categories; use label_codes and a vector encoding")
+        raise ValueError(f"{c} has more than {WIDE_LIMIT} categories; use label_codes and one_hot_vectors")
     return sorted(r.v for r in rows)
 
 
@@ -62,6 +63,17 @@ def one_hot(c: str, categories: Sequence[str], prefix: str | None = None, drop_f
     return [F.when(col(c) == v, 1.0).otherwise(0.0).alias(f"{prefix or c}_{v}") for v in kept]
 
 
+def one_hot_vectors(df: DataFrame, c: str, codes: DataFrame, out: str, drop_first: bool = True) -> DataFrame:
+    """0/1 sparse vector of any width, in the order of ``codes`` (see ``label_codes``); unknown values and nulls give zeros."""
+    width = codes.count() - int(drop_first)
+    place = F.col("_code") - int(drop_first)
+    # the place after the last is dropped: for unknown values and the first category
+    place = F.when(F.col("_code").isNull() | (place < 0), width).otherwise(place).cast("double")
+    encoder = OneHotEncoder(inputCols=["_place"], outputCols=[out], dropLast=True)
+    model = encoder.fit(df.sparkSession.range(max(width, 1) + 1).select(F.col("id").cast("double").alias("_place")))
+    return model.transform(label_encode(df, c, codes, "_code", strict=False).withColumn("_place", place)).drop("_code", "_place")
+
+
 @dataclass(frozen=True)
 class TargetEncoding:
     """Smoothed target mean per category and the global mean, both as tables."""

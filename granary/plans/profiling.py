@@ -192,28 +192,43 @@ def _(t):
     return d.withColumn("r", F.round("r", 8)).orderBy(F.desc("r"), "feature")
 
 
+#: the columns of a line and two that follow from them
+NET = "l_extendedprice * (1 - l_discount)"
+MORE_SQL = f"(SELECT *, {NET} AS net, {NET} * (1 + l_tax) AS charge FROM lineitem)"
+MORE_NUM = [*LINE_NUM, "net", "charge"]
+
+
+def priced_lines(t):
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return t.lineitem.withColumns({"net": net, "charge": net * (1 + F.col("l_tax"))})
+
+
 @query(
     "b14_correlated_pairs",
-    f"SELECT * FROM ({PAIRS_SQL}) WHERE abs(r) > 0.8",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) + 0.0 AS r FROM {MORE_SQL}" for i, a in enumerate(MORE_NUM) for b in MORE_NUM[i + 1 :]
+    )
+    + ") WHERE abs(r) > 0.8",
 )
 def _(t):
-    d = P.correlation_pairs(t.lineitem, LINE_NUM)
+    d = P.correlation_pairs(priced_lines(t), MORE_NUM)
     return d.where(F.abs("r") > 0.8).withColumn("r", F.round("r", 8))
 
 
 @query(
     "b15_class_separation",
-    """SELECT * FROM (SELECT feature, round(avg(v) FILTER (r), 4) AS mean_pos,
+    f"""SELECT * FROM (SELECT feature, round(avg(v) FILTER (r), 4) AS mean_pos,
          round(avg(v) FILTER (NOT r), 4) AS mean_neg, round(stddev(v) FILTER (r), 4) AS std_pos,
          round(stddev(v) FILTER (NOT r), 4) AS std_neg,
          round(abs(avg(v) FILTER (r) - avg(v) FILTER (NOT r)) / (stddev(v) FILTER (NOT r) + 1e-10), 6) AS separation
-       FROM (SELECT l_quantity > 30 AS r, l_extendedprice, l_discount, l_tax FROM lineitem)
-         UNPIVOT (v FOR feature IN (l_extendedprice, l_discount, l_tax)) GROUP BY feature)
+       FROM (SELECT l_extendedprice > 50000 AS r, net, charge, l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount FROM {MORE_SQL})
+         UNPIVOT (v FOR feature IN (net, charge, l_quantity, l_discount)) GROUP BY feature)
        WHERE separation > 0.5""",
 )
 def _(t):
     d = P.class_separation(
-        t.lineitem, ["l_extendedprice", "l_discount", "l_tax"], F.col("l_quantity") > 30, 0.5
+        priced_lines(t), ["net", "charge", "l_quantity", "l_discount"], F.col("l_extendedprice") > 50000, 0.5
     )
     return d.select(
         "feature",

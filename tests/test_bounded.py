@@ -295,3 +295,20 @@ def test_csv_payloads(spark):
         (6, 2, None, "Row 2: B is not a number"),
         (6, 3, {"A": "", "B": "7"}, None),
     ]
+
+
+def test_one_hot_of_many_categories(spark):
+    from granary.operators import encode
+
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2990, F.format_string("c%04d", F.col("id") % 1500)).alias("c"))
+    codes = encode.label_codes(df, "c")
+    with pytest.raises(ValueError):
+        encode.categories_of(df, "c")
+    for drop in (True, False):
+        rows = encode.one_hot_vectors(df, "c", codes, "v", drop).collect()
+        for r in rows:
+            code = None if r.c is None else int(r.c[1:]) - drop
+            assert r.v.size == 1500 - drop
+            assert r.v.indices.tolist() == ([] if code is None or code < 0 else [code])
+    new = spark.createDataFrame([("other",)], "c string")
+    assert encode.one_hot_vectors(new, "c", codes, "v").first().v.numNonzeros() == 0
