@@ -291,7 +291,10 @@ def _(t):
 def _(t):
     e = t.events.select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     out = drift.rolling_per_entity(e, "user_id", "us", "event_id", 10, {"m": F.percentile("value", 0.5)})
-    return out.select("event_id", "user_id", (F.col("value") / F.round("m", 6)).alias("ratio"))
+    # by a zero median as floating-point numbers are divided: infinite, NaN for 0 / 0; a rounded zero keeps its sign
+    median, endless = F.round("m", 6), F.when(F.col("m") < 0, float("-inf")).otherwise(float("inf"))
+    ratio = F.when(median == 0, F.col("value") * endless).otherwise(F.col("value") / median)
+    return out.select("event_id", "user_id", ratio.alias("ratio"))
 
 
 # ---------------------------------------------------------------- Q monitoring

@@ -83,6 +83,25 @@ def test_few_rows_travel_twice(spark):
     assert rows.groupBy("u", "_s").count().agg(F.max("count")).first()[0] <= 300 + 300_000 / 64
 
 
+def test_ratios_to_a_zero_median(spark, tmp_path):
+    import duckdb
+    from compare import norm
+
+    from granary.plans import catalog
+
+    values = {1: [0.0, 0.0, 3.0, 0.0, 2.0, 5.0], 2: [-1e-9, 4.0], 3: [1e-9, None, -2.0], 4: [None, 1.0], 5: [-1e-9, -1e-9, 7.0]}
+    rows = [(u * 10 + i, u, v, i) for u, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double, i int")
+    df.select("event_id", "user_id", "value", F.timestamp_seconds("i").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    name = "f8_rolling_median_ratio"
+    got = {r.event_id: norm(r.ratio, 9) for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT event_id, ratio FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert got == {i: norm(v, 9) for i, v in want}
+    assert got[10] == "nan" and float("inf") in got.values() and float("-inf") in got.values()
+
+
 # ---- one step per row
 
 
