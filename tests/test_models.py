@@ -237,6 +237,33 @@ def test_neighbors_with_a_third_of_copies(spark, metric, monkeypatch):
         assert [near[i][k] for k in sorted(near[i])] == brute(x[i], x, ids, 5, i, metric)
 
 
+def test_neighbors_of_wide_vectors_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(neighbors, "STEP", 32)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 32)).astype(np.float32)
+    x[300:340] = np.round(x[300:340])  # some distances are equal
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(500)], "id long, v array<float>")
+    near = {}
+    for r in neighbors.nearest(df.where("id % 5 = 0"), df, "id", "id", "v", 7).collect():
+        near.setdefault(r.id, {})[r["rank"]] = r.neighbor
+    assert len(near) == 100
+    for i in near:
+        assert [near[i][k] for k in sorted(near[i])] == brute(x[i].astype(float), x.astype(float), np.arange(500), 7)
+
+
+def test_cells_share_blocks_of_bounded_size():
+    size = np.array([400] * 250 + [0, 70_000, 5, 32_768, 9])
+    first, parts = neighbors._bundled(size, 32_768)
+    rows = {}
+    for f, p, n in zip(first, parts, size):
+        for b in range(f, f + p):
+            rows[b] = rows.get(b, 0) + -(-n // p)
+    # a query that visits every cell is sent to a few blocks, not to 254 cells
+    assert set(rows) == set(range(len(rows))) and len(rows) <= 9
+    assert max(rows.values()) <= 32_768 and sum(rows.values()) - size.sum() < 3
+
+
 def test_neighbors_of_few_rows(spark):
     df = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [5.0])], "id long, v array<double>")
     got = neighbors.nearest(df, df, "id", "id", "v", 10).groupBy("id").count().collect()
