@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,13 +22,13 @@ NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def unescape(c) -> Column:
-    """Decoded character entities."""
+    """Decoded character entities; row by row, as texts may be long."""
 
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
+    @F.udf("string", useArrow=False)
+    def decode(s):
         import html
 
-        return s.map(lambda x: None if x is None else html.unescape(x))
+        return None if s is None else html.unescape(s)
 
     return decode(col(c))
 

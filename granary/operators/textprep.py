@@ -35,29 +35,21 @@ def _mail_parts(message, depth: int = 0) -> Iterator[tuple[int, str, str | None]
 
 
 def mail_parts(mails: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, parts) per raw mail; parts: array of (number, depth, kind, text)."""
+    """(key, parts) per raw mail; parts: array of (number, depth, kind, text).
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Mails are parsed row by row: a task holds a few of them, not a batch of thousands.
+    """
+
+    @F.udf("array<struct<number:int,depth:int,kind:string,text:string>>", useArrow=False)
+    def split(raw):
         import email
         import email.policy
 
-        for b in batches:
-            parts = [
-                [
-                    {"number": i, "depth": d, "kind": k, "text": t}
-                    for i, (d, k, t) in enumerate(
-                        _mail_parts(email.message_from_bytes(bytes(raw), policy=email.policy.default))
-                    )
-                ]
-                for raw in b["content"]
-            ]
-            yield pd.DataFrame({"key": b["key"], "parts": parts})
-
-    kind = mails.schema[key].dataType.simpleString()
-    rows = fill_cores(mails.select(F.col(key).alias("key"), F.col(content).alias("content")), "key").mapInPandas(
-        split, f"key {kind}, parts array<struct<number:int,depth:int,kind:string,text:string>>"
-    )
-    return rows.withColumnRenamed("key", key)
+        message = email.message_from_bytes(bytes(raw), policy=email.policy.default)
+        return [(i, d, k, t) for i, (d, k, t) in enumerate(_mail_parts(message))]
+
+    rows = fill_cores(mails.select(key, F.col(content).alias("content")), key)
+    return rows.select(key, split("content").alias("parts"))
 
 
 def parse_mails(mails: DataFrame, key: str, content: str) -> DataFrame:

@@ -18,33 +18,29 @@ COUNTS = f"(SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(strin
 def make_mails(t):
     """Raw mails from documents: plain, page only, both, or nested."""
 
-    def build(batches):
+    # row by row: a task holds a few mails, not a batch of thousands
+    @F.udf("binary", useArrow=False)
+    def build(key, text):
         import html
         from email.message import EmailMessage
 
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for key, text in zip(b["doc_id"], b["text"], strict=True):
-                page = f"<html><head><title>t</title></head><body><p>{html.escape(text)}</p><a href='u'>x</a></body></html>"
-                m = EmailMessage()
-                m["Subject"] = f"mail {key}"
-                kind = key % 4
-                if kind == 1:
-                    m.set_content(page, subtype="html")
-                else:
-                    m.set_content(text)
-                if kind >= 2:
-                    m.add_alternative(page, subtype="html")
-                if kind == 3:
-                    m.add_attachment(b"abc", maintype="application", subtype="pdf", filename="a.pdf")
-                out.append(m.as_bytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "content": out})
+        page = f"<html><head><title>t</title></head><body><p>{html.escape(text)}</p><a href='u'>x</a></body></html>"
+        m = EmailMessage()
+        m["Subject"] = f"mail {key}"
+        kind = 0 if key is None else key % 4
+        if kind == 1:
+            m.set_content(page, subtype="html")
+        else:
+            m.set_content(text)
+        if kind >= 2:
+            m.add_alternative(page, subtype="html")
+        if kind == 3:
+            m.add_attachment(b"abc", maintype="application", subtype="pdf", filename="a.pdf")
+        return m.as_bytes()
 
     clean = F.regexp_replace("text", r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", " ")
     docs = fill_cores(t.documents.select("doc_id", "text"), "doc_id")
-    return docs.select("doc_id", clean.alias("text")).mapInPandas(build, "doc_id long, content binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), build("doc_id", clean).alias("content"))
 
 
 @query(

@@ -1,5 +1,6 @@
 """Operators whose tasks must stay bounded: hot groups, repeated hashes, many masks, stored statistics, streamed archives."""
 
+import hashlib
 import io
 import tarfile
 import zipfile
@@ -102,6 +103,27 @@ def test_ratios_to_a_zero_median(spark, tmp_path):
     assert got[10] == "nan" and float("inf") in got.values() and float("-inf") in got.values()
 
 
+# ---- mails
+
+
+def test_mails_go_row_by_row(spark, tmp_path):
+    from granary.plans import catalog
+
+    rows = [(i, f"text {i} <b> & ä\n" * (1 + 3000 * (i == 2))) for i in [*range(8), None]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    letters = catalog.queries()["r3_mail_text"](spark, str(tmp_path))
+    for df in (letters, catalog.queries()["r1_mail_structures"](spark, str(tmp_path))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # no batch of thousands of mails or pages in a Python worker
+        assert "BatchEvalPython" in plan and "MapInPandas" not in plan and "ArrowEvalPython" not in plan
+    got = {r.doc_id: r.letters for r in letters.collect()}
+    for i, text in rows:
+        plain = "".join(c for c in text + ("HYPERLINKx" if i in (1, 5) else "") if c.isascii() and c.isalpha())
+        assert got[i] == hashlib.md5(plain.encode()).hexdigest()
+    kinds = {r.structure: r.n for r in df.collect()}
+    assert sorted(kinds.values()) == [2, 2, 2, 3] and kinds["text/plain"] == 3  # the one without a key too
+
+
 # ---- one step per row
 
 
