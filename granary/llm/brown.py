@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import crc_mod, materialize, text_or_empty
 from granary.operators.ranking import default_buckets
 
-CORE = (2000, 1000, 5000)  # words clustered among themselves: one in 1000 distinct words, at least 2000, at most 5000
+CORE, CORE_SHARE, CORE_MOST = 2000, 1000, 5000  # words clustered among themselves: one in 1000 distinct words, at least 2000, at most 5000
 WORDS_A_PART = 40_000  # distinct words that a task places at a time, about
 CLASSES = 48  # classes of words, at most 100; one more is that of the end of a text
 SWEEPS = 4
@@ -546,8 +546,8 @@ def class_scores(docs: DataFrame, core_words: int | None = None, classes: int =
     facts = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("one")).first()
     ends = train.count()
     total, distinct = int(facts.n or 0) + ends, int(facts.v) + (ends > 0)
-    least, share, most = CORE  # the core's word pairs are held by the driver: at most ``most`` squared
-    core_words = core_words or min(max(least, distinct // share), most)
+    # the core's word pairs are held by the driver: at most ``CORE_MOST`` squared
+    core_words = core_words or min(max(CORE, distinct // CORE_SHARE), CORE_MOST)
     top = counts.orderBy(F.desc("c"), "word").limit(core_words).toPandas()
     core = {bytes(w): i for i, w in enumerate(top.word)}
     core_counts = np.append(top.c.to_numpy(np.int64), ends)
